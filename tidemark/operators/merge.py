@@ -23,21 +23,24 @@ def merge_fields(
     order: Sequence[str] = ("ingest_seq",),
     keys: str = "feature_keys",
     last: Sequence[str] = (),
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per entity: each feature from the newest update that sets it.
 
     Features an update leaves out survive from older ones. `order` is arrival order for
     the behaviour of an in-place hash write, or event time first for event-time order.
-    `last` names columns taken from the newest update whatever it sets.
+    `last` names columns taken from the newest update whatever it sets; `extra` adds
+    further named aggregates.
     """
     by = [by] if isinstance(by, str) else list(by)
     newest = ordering(order)
     values = [F.max_by(f, F.when(present(f, keys), newest)).alias(f) for f in features]
     seen = [F.max(present(f, keys)).alias(f"_has_{i}") for i, f in enumerate(features)]
     others = [F.max_by(c, newest).alias(c) for c in last]
-    merged = updates.groupBy(*by).agg(*values, *seen, *others)
+    merged = updates.groupBy(*by).agg(*values, *seen, *others, *extra)
     named = F.array(*[F.when(F.col(f"_has_{i}"), F.lit(f)) for i, f in enumerate(features)])
-    return merged.select(*by, F.array_compact(named.cast("array<string>")).alias(keys), *features, *last)
+    helpers = [f"_has_{i}" for i in range(len(features))]
+    return merged.withColumn(keys, F.array_compact(named.cast("array<string>"))).drop(*helpers)
 
 
 def since_reset(
