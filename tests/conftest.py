@@ -6,9 +6,9 @@ from tidemark.session import local_session
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(
-        4,
+        8,
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "3",
             "spark.driver.memory": "4g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },

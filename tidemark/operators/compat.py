@@ -20,9 +20,22 @@ def features_by_name(features: Column) -> Column:
     return F.transform(names, lambda n: F.element_at(F.filter(features, lambda f: f["name"] == n), -1))
 
 
-def _named(features: Column, name: Column) -> Column:
-    """The feature of that name, or null."""
-    return F.get(F.filter(features, lambda f: f["name"] == name), F.lit(0))
+def _by_name(features: Column) -> Column:
+    """Map from name to feature; names must not repeat."""
+    return F.map_from_entries(F.transform(features, lambda f: F.struct(f["name"], f)))
+
+
+def _prepared(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """Add the deduplicated features of both specs, as lists and by name.
+
+    As columns of their own they are worked out once per row rather than once per use.
+    """
+    listed = pairs.withColumn("_before", features_by_name(F.col(old)["features"])).withColumn(
+        "_after", features_by_name(F.col(new)["features"])
+    )
+    return listed.withColumn("_old_by_name", _by_name(F.col("_before"))).withColumn(
+        "_new_by_name", _by_name(F.col("_after"))
+    )
 
 
 def _finding(severity: str, *parts: Column | str) -> Column:
@@ -47,11 +60,11 @@ def python_literal(json_text: Column) -> Column:
 
 
 # The wording of the findings below is part of the result.
-def _backward(old: Column, new: Column) -> Column:
+def _backward() -> Column:
     """Readers on the new schema must understand data of the old one."""
 
     def rule(f: Column) -> Column:
-        now = _named(new, f["name"])
+        now = F.col("_new_by_name")[f["name"]]
         dropped = "BACKWARD: field '"
         return (
             F.when(
@@ -89,14 +102,14 @@ def _backward(old: Column, new: Column) -> Column:
             )
         )
 
-    return _each(old, rule)
+    return _each(F.col("_before"), rule)
 
 
-def _forward(old: Column, new: Column) -> Column:
+def _forward() -> Column:
     """Readers on the old schema must cope with data of the new one."""
 
     def rule(f: Column) -> Column:
-        was = _named(old, f["name"])
+        was = F.col("_old_by_name")[f["name"]]
         return (
             F.when(
                 was.isNull() & f["default"].isNull(),
@@ -131,7 +144,7 @@ def _forward(old: Column, new: Column) -> Column:
             )
         )
 
-    return _each(new, rule)
+    return _each(F.col("_after"), rule)
 
 
 def _renamed(old: Column, new: Column, column: str, ending: str) -> Column:
@@ -139,36 +152,33 @@ def _renamed(old: Column, new: Column, column: str, ending: str) -> Column:
     return F.when(old[column] != new[column], F.array(found)).otherwise(F.array().cast(FINDING))
 
 
-def findings(old: Column, new: Column, mode: Column) -> Column:
-    """All findings for one pair of specs under a compatibility mode, in rule order."""
-    before, after = features_by_name(old["features"]), features_by_name(new["features"])
+def _findings(pairs: DataFrame, old: str, new: str, mode: str) -> DataFrame:
+    """Add `_found`: the findings of a pair of specs under its mode, in rule order."""
     nothing = F.array().cast(FINDING)
-    return F.when(mode == "NONE", nothing).otherwise(
-        F.concat(
-            F.when(mode.isin("BACKWARD", "FULL"), _backward(before, after)).otherwise(nothing),
-            F.when(mode.isin("FORWARD", "FULL"), _forward(before, after)).otherwise(nothing),
-            _renamed(old, new, "entity_column", "'. This is never compatible."),
-            _renamed(old, new, "timestamp_column", "'."),
-        )
+    was, now, asked = F.col(old), F.col(new), F.col(mode)
+    found = F.concat(
+        F.when(asked.isin("BACKWARD", "FULL"), _backward()).otherwise(nothing),
+        F.when(asked.isin("FORWARD", "FULL"), _forward()).otherwise(nothing),
+        _renamed(was, now, "entity_column", "'. This is never compatible."),
+        _renamed(was, now, "timestamp_column", "'."),
     )
+    skipped = was.isNull() | (asked == "NONE")
+    return _prepared(pairs, old, new).withColumn("_found", F.when(skipped, nothing).otherwise(found))
 
 
-def _messages(found: Column, severity: str) -> Column:
-    return F.transform(F.filter(found, lambda x: x["severity"] == severity), lambda x: x["message"])
+def _messages(severity: str) -> Column:
+    return F.transform(F.filter("_found", lambda x: x["severity"] == severity), lambda x: x["message"])
 
 
 def check_compatibility(
     pairs: DataFrame, *, old: str = "old_spec", new: str = "new_spec", mode: str = "mode"
 ) -> DataFrame:
     """Add `compatible`, `errors` and `warnings`; a null old spec is a first registration."""
-    first = F.col(old).isNull()
-    found = F.when(~first, findings(F.col(old), F.col(new), F.col(mode))).otherwise(F.array().cast(FINDING))
-    return (
-        pairs.withColumn("_found", found)
-        .withColumn("errors", _messages(F.col("_found"), "error"))
-        .withColumn("warnings", _messages(F.col("_found"), "warning"))
-        .withColumn("compatible", F.size("errors") == 0)
-        .drop("_found")
+    return _findings(pairs, old, new, mode).select(
+        *pairs.columns,
+        _messages("error").alias("errors"),
+        _messages("warning").alias("warnings"),
+        (~F.exists("_found", lambda x: x["severity"] == "error")).alias("compatible"),
     )
 
 
@@ -176,23 +186,21 @@ def audit(
     pairs: DataFrame, keys: Sequence[str], *, old: str = "old_spec", new: str = "new_spec", mode: str = "mode"
 ) -> DataFrame:
     """One row per finding, numbered in rule order."""
-    found = findings(F.col(old), F.col(new), F.col(mode))
-    return pairs.select(*keys, F.posexplode(found).alias("position", "_f")).select(
+    found = _findings(pairs, old, new, mode).select(*keys, F.posexplode("_found").alias("position", "_f"))
+    return found.select(
         *keys, "position", F.col("_f.severity").alias("severity"), F.col("_f.message").alias("message")
     )
 
 
 def spec_diff(pairs: DataFrame, keys: Sequence[str], *, old: str = "old_spec", new: str = "new_spec") -> DataFrame:
     """One row per feature of either spec: added, removed, retyped or same."""
-    before = features_by_name(F.col(old)["features"])
-    after = features_by_name(F.col(new)["features"])
-    names = F.array_union(F.transform(before, lambda f: f["name"]), F.transform(after, lambda f: f["name"]))
+    names = F.array_union(F.map_keys("_old_by_name"), F.map_keys("_new_by_name"))
     rows = F.transform(
         names,
         lambda n: F.struct(
             n.alias("feature_name"),
-            _named(before, n)["dtype"].alias("old_dtype"),
-            _named(after, n)["dtype"].alias("new_dtype"),
+            F.col("_old_by_name")[n]["dtype"].alias("old_dtype"),
+            F.col("_new_by_name")[n]["dtype"].alias("new_dtype"),
         ),
     )
     change = (
@@ -201,4 +209,4 @@ def spec_diff(pairs: DataFrame, keys: Sequence[str], *, old: str = "old_spec", n
         .when(F.col("old_dtype") != F.col("new_dtype"), "retyped")
         .otherwise("same")
     )
-    return pairs.select(*keys, F.inline(rows)).withColumn("change", change)
+    return _prepared(pairs, old, new).select(*keys, F.inline(rows)).withColumn("change", change)

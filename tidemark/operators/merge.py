@@ -59,15 +59,16 @@ def since_reset(
     batch, so that a group is as long as the number of batches not yet compacted.
     """
     by_time = Window.partitionBy(by).orderBy(*order)
-    lapsed = F.col(written_at) >= F.lag(expires_at).over(by_time)
-    gone = F.lag(deleted).over(by_time)
-    starts = F.coalesce(lapsed, F.lit(False)) | F.coalesce(gone, F.lit(False))
+    removes = F.coalesce(F.col(deleted), F.lit(False))
+    lapsed = F.coalesce(F.col(written_at) >= F.lag(expires_at).over(by_time), F.lit(False))
+    after_removal = F.coalesce(F.lag(removes).over(by_time), F.lit(False))
+    starts = lapsed | removes | after_removal
     epochs = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     flagged = writes.withColumn("_starts", starts.cast("int"))
     numbered = flagged.withColumn("_epoch", F.sum("_starts").over(epochs))
     newest = F.max("_epoch").over(Window.partitionBy(by))
     return (
         numbered.withColumn("_newest", newest)
-        .where((F.col("_epoch") == F.col("_newest")) & ~F.coalesce(F.col(deleted), F.lit(False)))
+        .where((F.col("_epoch") == F.col("_newest")) & ~removes)
         .drop("_starts", "_epoch", "_newest")
     )

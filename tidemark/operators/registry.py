@@ -155,7 +155,7 @@ def active(views: DataFrame) -> DataFrame:
 def views_with_spec(views: DataFrame, versions: DataFrame) -> DataFrame:
     """Active views with the features of their current version; without one they drop out."""
     specs = versions.select(
-        F.col("feature_view").alias("name"), F.col("version").alias("schema_version"), F.col("spec.features")
+        F.col("feature_view").alias("name"), F.col("version").alias("schema_version"), "spec", "spec.features"
     )
     return active(views).join(specs, ["name", "schema_version"])
 

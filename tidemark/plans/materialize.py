@@ -13,7 +13,7 @@ from tidemark.model import ARRIVAL, RUNS, FeatureViewSpec
 from tidemark.operators.latest import latest_in_range
 from tidemark.sources.feature_log import FeatureLog
 from tidemark.sources.online_table import OnlineTable
-from tidemark.sources.tables import read_or_empty, rows
+from tidemark.sources.tables import add_records, records, rows
 
 
 def utc_now() -> dt.datetime:
@@ -78,21 +78,21 @@ class Materializer:
 
     def _record(self, job: dict) -> None:
         values = tuple(job[name] for name in RUNS.fieldNames())
-        rows(self.spark, [values], RUNS).write.mode("append").parquet(self.runs_path)
+        add_records(rows(self.spark, [values], RUNS), self.runs_path)
 
     def runs(self, view: str | None = None, job_id: str | None = None) -> DataFrame:
         """One row per run in its newest state, newest run first."""
-        return current_runs(read_or_empty(self.spark, self.runs_path, RUNS), view, job_id)
+        return current_runs(records(self.spark, self.runs_path, RUNS), view, job_id)
 
 
-def current_runs(records: DataFrame, view: str | None = None, job_id: str | None = None) -> DataFrame:
+def current_runs(states: DataFrame, view: str | None = None, job_id: str | None = None) -> DataFrame:
     """Fold run records to the newest state of each run, by view or id, newest run first."""
     if view is not None:
-        records = records.where(F.col("feature_view") == view)
+        states = states.where(F.col("feature_view") == view)
     if job_id is not None:
-        records = records.where(F.col("job_id") == job_id)
-    state = F.struct(*[c for c in records.columns if c != "job_id"])
+        states = states.where(F.col("job_id") == job_id)
+    state = F.struct(*[c for c in states.columns if c != "job_id"])
     newest = F.max_by(state, F.struct(F.col("completed_at").isNotNull(), "completed_at"))
     return (
-        records.groupBy("job_id").agg(newest.alias("_s")).select("job_id", "_s.*").orderBy(F.desc("created_at"), "job_id")
+        states.groupBy("job_id").agg(newest.alias("_s")).select("job_id", "_s.*").orderBy(F.desc("created_at"), "job_id")
     )

@@ -75,10 +75,9 @@ lines AS (
   SELECT l_orderkey AS o_orderkey, 'f' || (l_partkey % 5) AS name,
          CASE l_returnflag WHEN 'A' THEN 'float64' WHEN 'N' THEN 'int64' ELSE 'string' END AS dtype,
          CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_returnflag = 'R' THEN '''none''' ELSE '0' END END AS dflt,
-         row_number() OVER w AS place,
-         count(*) OVER (PARTITION BY l_orderkey) AS n
+         row_number() OVER w AS place
   FROM lineitem
-  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)
 ),
 feats AS (
   SELECT o_orderkey, name, min(place) AS place,

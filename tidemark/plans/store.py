@@ -27,7 +27,7 @@ from tidemark.plans.materialize import Materializer, utc_now
 from tidemark.sources.feature_log import FeatureLog
 from tidemark.sources.messages import change_messages, check_mode, keyed, send, update_messages
 from tidemark.sources.online_table import OnlineTable
-from tidemark.sources.tables import read_or_empty, rows
+from tidemark.sources.tables import add_records, records, rows
 
 logger = logging.getLogger(__name__)
 
@@ -63,10 +63,10 @@ class FeatureStore:
     # --- schemas and catalog -------------------------------------------------------------
 
     def versions(self) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.root}/schema_versions", SCHEMA_VERSIONS)
+        return records(self.spark, f"{self.root}/schema_versions", SCHEMA_VERSIONS)
 
     def catalog(self) -> DataFrame:
-        return registry.catalog(read_or_empty(self.spark, f"{self.root}/view_events", VIEW_EVENTS))
+        return registry.catalog(records(self.spark, f"{self.root}/view_events", VIEW_EVENTS))
 
     def register_schema(
         self, spec: FeatureViewSpec, mode: str = "BACKWARD", *, now: dt.datetime | None = None
@@ -82,23 +82,22 @@ class FeatureStore:
     def register_schemas(self, proposals: DataFrame, *, now: dt.datetime | None = None) -> DataFrame:
         """Register one proposed spec for each of many views; refused ones change nothing.
 
-        Versions and catalog rows carry the batch in their path, so the outcome is fixed by
-        writing it once and everything else reads it back.
+        The outcome is written once and everything else reads it back, so that versions
+        and catalog cannot disagree.
         """
         now = now or utc_now()
-        batch = uuid.uuid4().hex
         names = proposals.groupBy("spec.name").count()
         if not names.where("count > 1").isEmpty():
             raise ValueError("propose one schema per view at a time")
-        decided_at = f"{self.root}/decisions/batch={batch}"
-        registry.decide(self.versions(), proposals).write.parquet(decided_at)
-        decided = self.spark.read.parquet(decided_at)
+        decisions = f"{self.root}/decisions/batch={uuid.uuid4().hex}"
+        registry.decide(self.versions(), proposals).write.parquet(decisions)
+        decided = self.spark.read.parquet(decisions)
         accepted = decided.where("accepted")
         stamp = as_timestamp(now)
-        accepted.select(
+        new_versions = accepted.select(
             "feature_view", "version", "spec", "compatibility_mode", stamp.alias("created_at")
-        ).write.mode("append").parquet(f"{self.root}/schema_versions")
-        accepted.select(
+        )
+        new_events = accepted.select(
             F.col("feature_view").alias("name"),
             "spec.entity_column",
             "spec.timestamp_column",
@@ -108,7 +107,9 @@ class FeatureStore:
             "spec.description",
             F.lit(True).alias("is_active"),
             stamp.alias("changed_at"),
-        ).write.mode("append").parquet(f"{self.root}/view_events")
+        )
+        add_records(new_versions, f"{self.root}/schema_versions")
+        add_records(new_events, f"{self.root}/view_events")
         if self.changes:
             self._publish(change_messages(registry.change_feed(accepted), now=now), self.changes)
         return decided
@@ -128,7 +129,7 @@ class FeatureStore:
         return self.versions().where(F.col("feature_view") == view).agg(F.max("version")).first()[0]
 
     def list_views(self) -> DataFrame:
-        return registry.views_with_spec(self.catalog(), self.versions()).orderBy("name")
+        return registry.views_with_spec(self.catalog(), self.versions()).drop("spec").orderBy("name")
 
     def view_listing(self) -> DataFrame:
         return registry.view_listing(registry.views_with_spec(self.catalog(), self.versions()))
@@ -141,7 +142,7 @@ class FeatureStore:
         if self.catalog().where(F.col("name") == view).isEmpty():
             return False
         event = (view, None, None, None, None, None, None, False, now or utc_now())
-        rows(self.spark, [event], VIEW_EVENTS).write.mode("append").parquet(f"{self.root}/view_events")
+        add_records(rows(self.spark, [event], VIEW_EVENTS), f"{self.root}/view_events")
         return True
 
     def load_spec(self, view: str, version: int) -> FeatureViewSpec | None:
@@ -150,11 +151,12 @@ class FeatureStore:
 
     def spec(self, view: str) -> FeatureViewSpec:
         """Current spec of an active view."""
-        entry = registry.active(self.catalog()).where(F.col("name") == view).first()
-        spec = self.load_spec(view, entry["schema_version"]) if entry else None
-        if spec is None:
+        views = self.catalog().where(F.col("name") == view)
+        versions = self.versions().where(F.col("feature_view") == view)
+        found = registry.views_with_spec(views, versions).select("spec").first()
+        if found is None:
             raise LookupError(f"Feature view '{view}' not found")
-        return spec
+        return FeatureViewSpec.from_row(found["spec"])
 
     # --- writes --------------------------------------------------------------------------
 

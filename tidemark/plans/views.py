@@ -79,22 +79,33 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem")
     # Fixed for this data set: how line columns read as feature properties.
-    dtype = F.when(F.col("l_returnflag") == "A", "float64").when(F.col("l_returnflag") == "N", "int64").otherwise("string")
-    default = F.when(F.col("l_linestatus") == "O", F.when(F.col("l_returnflag") == "R", '"none"').otherwise("0"))
-    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    # A repeated name keeps its first place and its last definition. Reduced like this
-    # before they are collected, an order has five features at most, whatever its size.
-    named = lines.groupBy(
-        F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("f"), F.col("l_partkey") % 5).alias("name")
-    ).agg(
-        F.min(at).alias("first"),
-        F.max_by(F.struct(dtype.alias("dtype"), default.alias("default")), at).alias("last"),
+    dtypes, defaults = ["float64", "int64", "string"], [None, "0", '"none"']
+    dtype = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    default = F.when(F.col("l_linestatus") == "O", F.when(F.col("l_returnflag") == "R", 2).otherwise(1)).otherwise(0)
+    place = (F.col("l_linenumber") * (1 << 35) + F.col("l_partkey")) * (1 << 20) + F.col("l_suppkey") % (1 << 20)
+    # A repeated name keeps its first place and its last definition. There are five names,
+    # so an order of any size reduces to a few numbers in one hash aggregation.
+    names = range(5)
+    at = {n: F.when(F.col("l_partkey") % 5 == n, place) for n in names}
+    reduced = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        *[F.min(at[n]).alias(f"first_{n}") for n in names],
+        *[F.max_by(dtype * 3 + default, at[n]).alias(f"last_{n}") for n in names],
     )
-    specs = named.groupBy("o_orderkey").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("first", "name", "last"))),
-            lambda f: F.struct(f["name"].alias("name"), f["last"]["dtype"].alias("dtype"), f["last"]["default"].alias("default")),
-        ).alias("features")
+    found = [
+        F.when(
+            F.col(f"first_{n}").isNotNull(),
+            F.struct(
+                F.col(f"first_{n}").alias("first"),
+                F.lit(f"f{n}").alias("name"),
+                F.get(F.array(*[F.lit(d) for d in dtypes]), (F.col(f"last_{n}") / 3).cast("int")).alias("dtype"),
+                F.get(F.array(*[F.lit(d) for d in defaults]), F.col(f"last_{n}") % 3).alias("default"),
+            ),
+        )
+        for n in names
+    ]
+    listed = F.sort_array(F.array_compact(F.array(*found)))
+    specs = reduced.select(
+        "o_orderkey", F.transform(listed, lambda f: F.struct(f["name"], f["dtype"], f["default"])).alias("features")
     )
     numbered = number_within(orders.join(specs, "o_orderkey"), by=["o_custkey"], ts="o_orderdate", order=["o_orderkey"])
     early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")

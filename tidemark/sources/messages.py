@@ -159,12 +159,13 @@ def send(keyed_rows: DataFrame, sink: Mapping[str, str]) -> None:
 def parse_messages(raw: DataFrame) -> DataFrame:
     """Update messages out of keyed rows; text that does not parse leaves null fields.
 
-    With Kafka the offset is the arrival order: one entity stays in one partition.
+    With Kafka the offset is the arrival order, since one entity stays in one partition.
+    Other sources have no such column, and rows then count in the order they are read.
     """
     text = F.col("value").cast("string")
-    arrival = F.col("offset") if "offset" in raw.columns else F.monotonically_increasing_id()
-    parsed = raw.select(text.alias("raw"), F.from_json(text, UPDATE_MESSAGE).alias("_m"), arrival.alias("ingest_seq"))
-    return parsed.select("_m.*", "ingest_seq", "raw")
+    arrival = [F.col("offset").alias("ingest_seq")] if "offset" in raw.columns else []
+    parsed = raw.select(text.alias("raw"), F.from_json(text, UPDATE_MESSAGE).alias("_m"), *arrival)
+    return parsed.select("_m.*", *(["ingest_seq"] if arrival else []), "raw")
 
 
 def read_updates(spark: SparkSession, source: Mapping[str, str], schema: str = "key string, value string") -> DataFrame:

@@ -44,24 +44,22 @@ class OnlineTable:
     def _manifest(self) -> DataFrame:
         return read_or_empty(self.spark, f"{self.path}/manifest", MANIFEST, "json")
 
-    def _last_seq(self) -> int:
-        return self._manifest().agg(F.max("seq")).first()[0] or 0
-
-    def _known(self, batch: str) -> bool:
-        return not self._manifest().where(F.col("batch") == batch).isEmpty()
+    def _position(self, batch: str) -> tuple[int, bool]:
+        """Number of the newest line and whether `batch` is listed already."""
+        seq, known = self._manifest().agg(F.max("seq"), F.max(F.col("batch") == batch)).first()
+        return seq or 0, bool(known)
 
     def _publish(self, seq: int, kind: str, batch: str, path: str) -> None:
         line = rows(self.spark, [(seq, kind, batch, path)], MANIFEST)
         line.write.mode("append").json(f"{self.path}/manifest")
 
-    def _parts(self) -> tuple[list, int]:
+    def _parts(self) -> list:
         """The newest base and the deltas after it."""
         listed = self._manifest()
-        base_seq = listed.where("kind = 'base'").agg(F.max("seq")).first()[0] or 0
-        kept = (F.col("kind") == "base") & (F.col("seq") == base_seq) | (F.col("kind") == "delta") & (
-            F.col("seq") > base_seq
-        )
-        return listed.where(kept).distinct().collect(), base_seq
+        base = F.coalesce(listed.where("kind = 'base'").agg(F.max("seq")).scalar(), F.lit(0))
+        is_base = F.col("kind") == "base"
+        kept = (is_base & (F.col("seq") == base)) | (~is_base & (F.col("seq") > base))
+        return listed.where(kept).distinct().collect()
 
     # --- writes --------------------------------------------------------------------------
 
@@ -112,9 +110,10 @@ class OnlineTable:
         return self._add(marks, batch or uuid.uuid4().hex)
 
     def _add(self, delta: DataFrame, batch: str) -> int:
-        if self._known(batch):
+        newest, known = self._position(batch)
+        if known:
             return 0
-        seq = self._last_seq() + 1
+        seq = newest + 1
         path = f"{self.path}/delta/seq={seq}"
         delta.sortWithinPartitions("entity_id").write.mode("overwrite").parquet(path)
         n = self.spark.read.schema("n_updates long").parquet(path).agg(F.sum("n_updates")).first()[0] or 0
@@ -123,9 +122,9 @@ class OnlineTable:
 
     def compact(self, *, now: Any) -> None:
         """Fold all listed batches into a new base without the expired rows."""
-        parts, base_seq = self._parts()
+        parts = self._parts()
         seq = max((p["seq"] for p in parts), default=0)
-        if seq == base_seq:
+        if not any(p["kind"] == "delta" for p in parts):
             return
         path = f"{self.path}/base/seq={seq}"
         merged = self.current(now=now)
@@ -137,7 +136,7 @@ class OnlineTable:
     def current(self, *, now: Any, only: DataFrame | None = None) -> DataFrame:
         """Unexpired rows at `now`; `only` restricts the entities before anything is merged."""
         schema = self.spec.online_schema()
-        parts, _ = self._parts()
+        parts = self._parts()
         if not parts:
             return empty(self.spark, schema)
         writes = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,28 +14,27 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _nothing_there(error: AnalysisException) -> bool:
-    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
-
-
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+def read_or_empty(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options: str
+) -> DataFrame:
     """The table at `path` under a declared schema; no rows if it does not exist."""
     try:
-        return spark.read.schema(schema).format(fmt).load(path)
+        return spark.read.schema(schema).format(fmt).options(**options).load(path)
     except AnalysisException as error:
-        if not _nothing_there(error):
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return empty(spark, schema)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("text").load(path)
-    except AnalysisException as error:
-        if not _nothing_there(error):
-            raise
-        return False
-    return True
+def add_records(records: DataFrame, path: str) -> None:
+    """Append to a small table of records. Every append has a folder of its own, because
+    two jobs that append to one folder remove each other's unfinished files."""
+    records.write.parquet(f"{path}/{uuid.uuid4().hex}")
+
+
+def records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All records appended below `path`."""
+    return read_or_empty(spark, path, schema, recursiveFileLookup="true")
 
 
 def rows(spark: SparkSession, values: Sequence[tuple], schema: T.StructType) -> DataFrame:

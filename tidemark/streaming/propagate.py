@@ -25,6 +25,19 @@ from tidemark.sources.online_table import OnlineTable
 # Marks a TTL that is to be taken from the view.
 VIEW_TTL = "view"
 
+# What is kept of an update; `raw` is its text, for those that do not parse.
+COLUMNS = [
+    "message_id",
+    "feature_view",
+    "entity_id",
+    "features",
+    "event_timestamp",
+    "produced_at",
+    "logged",
+    "ingest_seq",
+    "raw",
+]
+
 
 def distinct_messages(updates: DataFrame, within: str) -> DataFrame:
     """Drop repeated message ids that arrive up to `within` apart, by production time."""
@@ -43,29 +56,23 @@ def apply_batch(
 
     `ttl=None` uses the global default for every view, a number that many seconds.
     """
-    columns = [
-        "message_id",
-        "feature_view",
-        "entity_id",
-        "features",
-        "event_timestamp",
-        "produced_at",
-        "logged",
-        "ingest_seq",
-    ]
-    batch = batch.select(*columns).persist()
+    if "ingest_seq" not in batch.columns:
+        batch = batch.withColumn("ingest_seq", F.monotonically_increasing_id())
+    if "raw" not in batch.columns:
+        batch = batch.withColumn("raw", F.lit(None).cast("string"))
+    batch = batch.select(*COLUMNS).persist()
     try:
         specs = _active_specs(store)
         present = [
             r[0] for r in batch.where(F.col("feature_view").isin(list(specs))).select("feature_view").distinct().collect()
         ]
         known = F.coalesce(F.col("feature_view").isin(present), F.lit(False))
-        refused = batch.where(~known).select(*columns, F.lit("no such view").alias("problem"))
+        refused = batch.where(~known).select(*COLUMNS, F.lit("no such view").alias("problem"))
         for view in present:
             checked = _checked(batch.where(F.col("feature_view") == view), specs[view])
             _write(store, specs[view], checked.where("problem IS NULL"), name, now, ttl)
             bad = checked.where("problem IS NOT NULL").withColumn("features", F.col("payload"))
-            refused = refused.unionByName(bad.select(*columns, "problem"))
+            refused = refused.unionByName(bad.select(*COLUMNS, "problem"))
         refused.write.mode("overwrite").parquet(f"{store.root}/quarantine/batch={name}")
     finally:
         batch.unpersist()
@@ -73,9 +80,7 @@ def apply_batch(
 
 def _active_specs(store: FeatureStore) -> dict[str, FeatureViewSpec]:
     views = registry.views_with_spec(store.catalog(), store.versions())
-    keys = views.select(F.col("name").alias("feature_view"), F.col("schema_version").alias("version"))
-    found = store.versions().join(keys, ["feature_view", "version"]).select("feature_view", "spec").collect()
-    return {r["feature_view"]: FeatureViewSpec.from_row(r["spec"]) for r in found}
+    return {r["name"]: FeatureViewSpec.from_row(r["spec"]) for r in views.select("name", "spec").collect()}
 
 
 def _checked(messages: DataFrame, spec: FeatureViewSpec) -> DataFrame:
@@ -106,8 +111,9 @@ def propagate(
     clock: Callable[[], dt.datetime] = utc_now,
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
-    """Start the stream. `updates` are message columns with `ingest_seq`, as
-    `read_updates` gives them; `clock` sets the write time of each batch."""
+    """Start the stream. `updates` are message columns as `read_updates` gives them, with
+    the arrival order in `ingest_seq` if there is one; `clock` sets each batch's write time.
+    """
     if dedupe_within:
         updates = distinct_messages(updates, dedupe_within)
 
