@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.codecs import encode_value
 from tidemark.model import DEFAULT_TTL_SECONDS, FeatureViewSpec
@@ -26,11 +27,17 @@ def payload_json(spec: FeatureViewSpec, keys: str = "feature_keys") -> Column:
     """The typed features as a JSON object that holds exactly the keys an update set."""
     pairs = []
     for field in spec.struct().fields:
-        boxed = F.to_json(F.array(F.col(field.name)))
-        value = F.substring(boxed, F.lit(2), F.length(boxed) - 2)
-        name = F.lit(json.dumps(field.name) + ":")
-        pairs.append(F.when(F.array_contains(keys, field.name), F.concat(name, value)))
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*pairs)), ","), F.lit("}"))
+        pair = F.concat(F.lit(json.dumps(field.name) + ":"), _json_value(F.col(field.name), field.dataType))
+        pairs.append(F.when(F.array_contains(keys, field.name), pair))
+    # Leaves out the nulls, which are the features the update did not set.
+    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+
+
+def _json_value(value: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, (T.LongType, T.BooleanType)):
+        return F.coalesce(value.cast("string"), F.lit("null"))
+    boxed = F.to_json(F.array(value))
+    return F.substring(boxed, F.lit(2), F.length(boxed) - 2)
 
 
 def message_key(view: Column, entity: Column) -> Column:

@@ -53,12 +53,14 @@ def asof_join(
     feature_ts: str = "feature_timestamp",
     nested: str | None = None,
     strategy: str = "auto",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     bound_log: bool = False,
 ) -> DataFrame:
     """As-of left join; returns the spine's columns, the features and `feature_ts`.
 
     `nested` puts the features into one struct column that is null where nothing matched.
+    Looking for hot entities reads the keys and times of large inputs once more;
+    `hot_rows=None` leaves that out where no entity is known to be hot.
     `bound_log` adds `log_ts <= max(spine_ts)`, which reaches the scan and pays off when
     the log runs on long after the last label and the spine is cheap to read.
     """
@@ -190,13 +192,15 @@ def _window_join(
 
 
 def _hot_bounds(
-    spine: DataFrame, log: DataFrame, by: list[str], spine_ts: str, hot_rows: int
+    spine: DataFrame, log: DataFrame, by: list[str], spine_ts: str, hot_rows: int | None
 ) -> DataFrame | None:
     """Cut points of the entities that hold more than `hot_rows` rows, or None.
 
     One row per hot entity with ascending `_cuts`; slice i holds `(cuts[i-1], cuts[i]]`
     and `_salts[i]` says over how many groups its spine rows are spread.
     """
+    if hot_rows is None:
+        return None
     if hot_rows >= HOT_ROWS and plan_bytes(spine) + plan_bytes(log) <= SMALL_INPUT_BYTES:
         return None
     keys = (

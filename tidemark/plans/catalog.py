@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.codecs import decode_value, encode_value
-from tidemark.functions.fields import epoch_ms, expires_at, ttl_or_default
+from tidemark.functions.fields import epoch_ms, expires_at, parse_payload, ttl_or_default
+from tidemark.model import UPDATE_MESSAGE
 from tidemark.operators import registry
 from tidemark.operators.asof import asof_join
 from tidemark.operators.compat import audit, check_compatibility, spec_diff
@@ -31,6 +32,7 @@ from tidemark.plans.views import (
     CUSTOMER_ORDERS,
     USER_ACTIVITY,
     of_type,
+    payload_k,
     schema_versions,
     table,
     user_activity,
@@ -168,10 +170,11 @@ def pit_array_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_activity(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
-    columns = ["ts", "event_id", *ACTIVITY]
-    return latest_in_range(
-        user_activity(spark, sf_dir), by="user_id", ts="ts", order=["ts", "event_id"], columns=columns, **options
-    )
+    """JSON is parsed for the newest rows only."""
+    columns = ["ts", "event_id", "value", "event_type", "props"]
+    events = table(spark, sf_dir, "events")
+    newest = latest_in_range(events, by="user_id", ts="ts", order=["ts", "event_id"], columns=columns, **options)
+    return newest.withColumn("k", payload_k()).drop("props")
 
 
 def latest_activity_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +414,7 @@ def text_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def update_message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Updates as keyed JSON messages, read back field by field."""
+    """Updates as keyed JSON messages, parsed again as the stream does."""
     rows = user_activity(spark, sf_dir).select(
         F.col("event_id").cast("string").alias("message_id"),
         F.col("user_id").cast("string").alias("entity_id"),
@@ -420,20 +423,16 @@ def update_message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         *ACTIVITY,
     )
     sent = keyed(update_messages(rows, USER_ACTIVITY, schema_version=3, now=NOW))
-
-    def field(path: str) -> Column:
-        return F.get_json_object("value", path)
-
-    return sent.select(
+    received = sent.select("key", F.from_json("value", UPDATE_MESSAGE).alias("m"))
+    parsed = received.select(
         "key",
-        field("$.message_id").cast("long").alias("message_id"),
-        field("$.feature_view").alias("feature_view"),
-        field("$.schema_version").cast("int").alias("schema_version"),
-        field("$.producer_id").alias("producer_id"),
-        field("$.features.k").cast("long").alias("k"),
-        field("$.features.event_type").alias("event_type"),
-        field("$.features.value").cast("double").alias("value"),
+        F.col("m.message_id").cast("long").alias("message_id"),
+        "m.feature_view",
+        "m.schema_version",
+        "m.producer_id",
+        parse_payload(F.col("m.features"), USER_ACTIVITY).alias("payload"),
     )
+    return parsed.select(*parsed.columns[:-1], "payload.*")
 
 
 # --- streaming ---------------------------------------------------------------------------
@@ -447,9 +446,8 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> FeatureStore:
     schema = table(spark, sf_dir, "events").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     events = reader.parquet(sf_dir)
-    k = F.get_json_object("props", "$.k").cast("long")
     raw = raw_payload(
-        events.withColumn("k", k).withColumn("ingest_seq", (F.col("event_id") + F.col("k") * 97) * 128 + F.col("k"))
+        events.withColumn("k", payload_k()).withColumn("ingest_seq", (F.col("event_id") + F.col("k") * 97) * 128 + F.col("k"))
     )
     view = F.when(F.col("event_type") == "signup", "no_such_view").otherwise("user_activity")
     updates = raw.select(

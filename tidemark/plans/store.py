@@ -235,14 +235,15 @@ class FeatureStore:
         """Features of each spine row as they were known at its label time.
 
         `fill_defaults` replaces null features of matched rows by the spec's defaults;
-        `ordered` sorts by `spine_id`. Further options go to `asof_join`.
+        `ordered` sorts by `spine_id`. Further options go to `asof_join`. Days of the log
+        after the last label are not read.
         """
         spec = self.spec(view)
         chosen = choose_features(spec.feature_names, names)
-        options.setdefault("bound_log", True)
+        log = self.log.read(spec, end=spine.agg(F.max("label_timestamp")).scalar())
         found = asof_join(
             spine,
-            self.log.read(spec).select("entity_id", "event_timestamp", *ARRIVAL, *chosen),
+            log.select("entity_id", "event_timestamp", *ARRIVAL, *chosen),
             ties=ARRIVAL,
             features=chosen,
             nested="features",

@@ -48,11 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def payload_k() -> Column:
+    """The number that events carry as JSON."""
+    return F.get_json_object("props", "$.k").cast("long")
+
+
 def user_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with `k` from their JSON, an arrival order that differs from event order,
     and the features each update sets."""
     events = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = payload_k()
     keys: Column = F.array().cast("array<string>")
     for kind, names in UPDATE_KEYS.items():
         keys = F.when(F.col("event_type") == kind, F.array(*[F.lit(n) for n in names])).otherwise(keys)
