@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.codecs import encode_value
 from tidemark.model import DEFAULT_TTL_SECONDS, FeatureViewSpec
@@ -25,19 +24,17 @@ def parse_payload(json_text: Column, spec: FeatureViewSpec) -> Column:
 
 def payload_json(spec: FeatureViewSpec, keys: str = "feature_keys") -> Column:
     """The typed features as a JSON object that holds exactly the keys an update set."""
-    pairs = []
-    for field in spec.struct().fields:
-        pair = F.concat(F.lit(json.dumps(field.name) + ":"), _json_value(F.col(field.name), field.dataType))
-        pairs.append(F.when(F.array_contains(keys, field.name), pair))
-    # Leaves out the nulls, which are the features the update did not set.
-    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
-
-
-def _json_value(value: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.LongType, T.BooleanType)):
-        return F.coalesce(value.cast("string"), F.lit("null"))
-    boxed = F.to_json(F.array(value))
-    return F.substring(boxed, F.lit(2), F.length(boxed) - 2)
+    names = spec.feature_names
+    sets = {n: F.array_contains(keys, n) for n in names}
+    # A feature that is not set is null here, and null fields are left out.
+    values = F.to_json(F.struct(*[F.when(sets[n], F.col(n)).alias(n) for n in names])) if names else F.lit("{}")
+    cleared = [F.when(sets[n] & F.col(n).isNull(), F.lit(json.dumps(n) + ":null")) for n in names]
+    nulls = F.concat_ws(",", *cleared)
+    any_value = F.lit(False)
+    for n in names:
+        any_value = any_value | (sets[n] & F.col(n).isNotNull())
+    comma = F.when(any_value & (nulls != ""), ",").otherwise("")
+    return F.concat(F.lit("{"), nulls, comma, F.substr(values, F.lit(2)))
 
 
 def message_key(view: Column, entity: Column) -> Column:

@@ -124,9 +124,7 @@ def keyed(messages: DataFrame) -> DataFrame:
     The payload is JSON text already and is spliced in rather than quoted.
     """
     envelope = F.to_json(F.struct(*[c for c in messages.columns if c != "features"]))
-    value = F.concat(
-        F.substring(envelope, F.lit(1), F.length(envelope) - 1), F.lit(',"features":'), F.col("features"), F.lit("}")
-    )
+    value = F.concat(F.lit('{"features":'), F.col("features"), F.lit(","), F.substr(envelope, F.lit(2)))
     return messages.select(message_key(F.col("feature_view"), F.col("entity_id")).alias("key"), value.alias("value"))
 
 
