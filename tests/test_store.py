@@ -203,6 +203,32 @@ def test_online_values(spark, store):
     assert online(store, ["a"], now=hours(5.1) + dt.timedelta(seconds=10), view="live")[1] == ["a"]
 
 
+def test_lookup_reads_only_the_buckets_it_needs(spark):
+    store = FeatureStore(spark, scratch_path(spark, "buckets"))
+    spec = FeatureViewSpec("many", (Feature("v", "int64"),))
+    store.register_schema(spec, now=T0)
+    table = store.online("many")
+    rows = spark.range(200).select(
+        F.col("id").cast("string").alias("entity_id"),
+        F.col("id").alias("ingest_seq"),
+        F.lit(T0).alias("event_timestamp"),
+        F.array(F.lit("v")).alias("feature_keys"),
+        F.col("id").alias("v"),
+    )
+    assert table.upsert(rows, now=T0) == 200
+    table.compact(now=T0, buckets=16)
+    asked = ids(spark, "3", "77", "nobody")
+    assert sorted(r["v"] for r in table.current(now=T0, only=asked).collect()) == [3, 77]
+    assert table.current(now=T0).count() == 200
+    plan = table.current(now=T0, only=asked)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    # A delta on top of a bucketed base.
+    table.upsert(rows.where("id = 3").withColumn("v", F.lit(-1).cast("long")), now=T0)
+    assert sorted(r["v"] for r in table.current(now=T0, only=asked).collect()) == [-1, 77]
+    table.compact(now=T0, buckets=4)
+    assert table.current(now=T0).agg(F.sum("v")).first()[0] == sum(range(200)) - 4
+
+
 def test_materialize_and_runs(spark, store):
     spec = FeatureViewSpec("daily", (Feature("v", "float64"), Feature("w", "string")))
     store.register_schema(spec, now=T0)

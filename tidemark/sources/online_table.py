@@ -19,6 +19,7 @@ from tidemark.functions.fields import as_timestamp, epoch_ms, expires_at, ttl_or
 from tidemark.model import FeatureViewSpec
 from tidemark.operators.lookup import unexpired
 from tidemark.operators.merge import merge_fields, since_reset
+from tidemark.session import plan_bytes
 from tidemark.sources.tables import empty, read_or_empty, rows
 
 MANIFEST = T.StructType(
@@ -27,11 +28,19 @@ MANIFEST = T.StructType(
         T.StructField("kind", T.StringType()),
         T.StructField("batch", T.StringType()),
         T.StructField("path", T.StringType()),
+        T.StructField("buckets", T.IntegerType()),
     ]
 )
+# A base is cut into buckets of about this size, so that a lookup reads few of them.
+BUCKET_BYTES = 512 << 20
+MAX_BUCKETS = 4096
 STATE = ["event_ts_ms", "written_at", "expires_at", "deleted"]
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("entity_id"), F.lit(buckets)).cast("int")
+
+
 class OnlineTable:
     def __init__(self, spark: SparkSession, root: str, spec: FeatureViewSpec) -> None:
         self.spark = spark
@@ -49,8 +58,8 @@ class OnlineTable:
         seq, known = self._manifest().agg(F.max("seq"), F.max(F.col("batch") == batch)).first()
         return seq or 0, bool(known)
 
-    def _publish(self, seq: int, kind: str, batch: str, path: str) -> None:
-        line = rows(self.spark, [(seq, kind, batch, path)], MANIFEST)
+    def _publish(self, seq: int, kind: str, batch: str, path: str, buckets: int | None = None) -> None:
+        line = rows(self.spark, [(seq, kind, batch, path, buckets)], MANIFEST)
         line.write.mode("append").json(f"{self.path}/manifest")
 
     def _parts(self) -> list:
@@ -120,35 +129,59 @@ class OnlineTable:
         self._publish(seq, "delta", batch, path)
         return n
 
-    def compact(self, *, now: Any) -> None:
-        """Fold all listed batches into a new base without the expired rows."""
+    def compact(self, *, now: Any, buckets: int | None = None) -> None:
+        """Fold all listed batches into a new base without the expired rows.
+
+        The base is partitioned by a hash of the entity; large buckets become several files.
+        """
         parts = self._parts()
-        seq = max((p["seq"] for p in parts), default=0)
         if not any(p["kind"] == "delta" for p in parts):
             return
+        seq = max(p["seq"] for p in parts)
         path = f"{self.path}/base/seq={seq}"
         merged = self.current(now=now)
-        merged.sortWithinPartitions("entity_id").write.mode("overwrite").parquet(path)
-        self._publish(seq, "base", f"base-{seq}", path)
+        buckets = buckets or max(1, min(MAX_BUCKETS, plan_bytes(merged) // BUCKET_BYTES))
+        (
+            merged.withColumn("bucket", _bucket(buckets))
+            .hint("rebalance", "bucket")
+            .sortWithinPartitions("bucket", "entity_id")
+            .write.mode("overwrite")
+            .partitionBy("bucket")
+            .parquet(path)
+        )
+        self._publish(seq, "base", f"base-{seq}", path, buckets)
 
     # --- reads ---------------------------------------------------------------------------
 
+    def _needed(self, base: DataFrame, wanted: DataFrame | None, buckets: int) -> DataFrame:
+        """The base without the buckets that hold none of the wanted entities."""
+        if wanted is None or buckets == 1:
+            return base
+        # At most `MAX_BUCKETS` numbers, whatever the number of entities.
+        hit = [r[0] for r in wanted.select(_bucket(buckets).alias("bucket")).distinct().collect()]
+        return base.where(F.col("bucket").isin(hit)) if len(hit) < buckets else base
+
     def current(self, *, now: Any, only: DataFrame | None = None) -> DataFrame:
         """Unexpired rows at `now`; `only` restricts the entities before anything is merged."""
         schema = self.spec.online_schema()
         parts = self._parts()
         if not parts:
             return empty(self.spark, schema)
+        wanted = only.select("entity_id").distinct() if only is not None else None
+        number, bucket = T.StructField("seq", T.LongType()), T.StructField("bucket", T.IntegerType())
         writes = None
         for kind in ("base", "delta"):
-            paths = [p["path"] for p in parts if p["kind"] == kind]
-            if not paths:
+            chosen = [p for p in parts if p["kind"] == kind]
+            if not chosen:
                 continue
-            numbered = T.StructType([*schema.fields, T.StructField("seq", T.LongType())])
-            part = self.spark.read.schema(numbered).option("basePath", f"{self.path}/{kind}").parquet(*paths)
+            extra = [number, bucket] if kind == "base" else [number]
+            reader = self.spark.read.schema(T.StructType([*schema.fields, *extra])).option("basePath", f"{self.path}/{kind}")
+            part = reader.parquet(*[p["path"] for p in chosen])
+            if kind == "base":
+                part = self._needed(part, wanted, chosen[0]["buckets"]).drop("bucket")
             writes = part if writes is None else writes.unionByName(part)
-        if only is not None:
-            writes = writes.join(only.select("entity_id").distinct(), "entity_id", "left_semi")
+        if wanted is not None:
+            writes = writes.join(wanted, "entity_id", "left_semi")
         if len(parts) == 1:
             merged = writes.where("not deleted").drop("seq")
         else:
