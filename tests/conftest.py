@@ -10,6 +10,10 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "3",
             "spark.driver.memory": "4g",
+            "spark.ui.showConsoleProgress": "false",
+            # Small data: compiling plans would take most of the time.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )

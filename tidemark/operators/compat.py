@@ -1,173 +1,115 @@
 """Compatibility of two versions of a view's schema.
 
 Both specs sit on one row, so the checks are expressions over their feature arrays: no
-shuffle, and findings come out in the order of the declared features.
+shuffle, and findings come out in the order of the declared features. The expressions are
+written as SQL text, which is shorter here and built in one step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINDING = "array<struct<severity:string,message:string>>"
+# The wording of the findings is part of the result.
+BACKWARD_REMOVED = "BACKWARD: field '%s' removed from new schema but had no default — old data cannot be read."
+BACKWARD_REMOVED_DEFAULT = "BACKWARD: field '%s' removed; old data will use default=%s."
+BACKWARD_RETYPED = (
+    "BACKWARD: field '%s' type changed '%s' → '%s'. Type changes break backward compatibility."
+)
+FORWARD_ADDED = (
+    "FORWARD: new required field '%s' (no default) added to schema — old consumers cannot handle this data."
+)
+FORWARD_ADDED_DEFAULT = "FORWARD: new optional field '%s' added; old consumers will ignore it."
+FORWARD_RETYPED = "FORWARD: field '%s' type changed '%s' → '%s'."
+ENTITY_RENAMED = "entity_column renamed '%s' → '%s'. This is never compatible."
+TIME_RENAMED = "timestamp_column renamed '%s' → '%s'."
 
+NOTHING = "cast(array() AS array<struct<severity:string,message:string>>)"
 
-def features_by_name(features: Column) -> Column:
-    """Features without repeated names: first position, last definition."""
-    names = F.array_distinct(F.transform(features, lambda f: f["name"]))
-    return F.transform(names, lambda n: F.element_at(F.filter(features, lambda f: f["name"] == n), -1))
 
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
-def _by_name(features: Column) -> Column:
-    """Map from name to feature; names must not repeat."""
-    return F.map_from_entries(F.transform(features, lambda f: F.struct(f["name"], f)))
 
+def _finding(severity: str, wording: str, *parts: str) -> str:
+    message = f"format_string({', '.join([_text(wording), *parts])})"
+    return f"named_struct('severity', '{severity}', 'message', {message})"
 
-def _prepared(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """Add the deduplicated features of both specs, as lists and by name.
 
-    As columns of their own they are worked out once per row rather than once per use.
-    """
-    listed = pairs.withColumn("_before", features_by_name(F.col(old)["features"])).withColumn(
-        "_after", features_by_name(F.col(new)["features"])
-    )
-    return listed.withColumn("_old_by_name", _by_name(F.col("_before"))).withColumn(
-        "_new_by_name", _by_name(F.col("_after"))
-    )
+def python_literal(json_text: str) -> str:
+    """SQL for a JSON default as Python would print it."""
+    text = f"get(from_json(concat('[', {json_text}, ']'), 'array<string>'), 0)"
+    single, double = _text("'"), _text('"')
+    return f"""CASE WHEN {json_text} = 'true' THEN 'True'
+        WHEN {json_text} = 'false' THEN 'False'
+        WHEN NOT startswith({json_text}, {double}) THEN {json_text}
+        WHEN contains({text}, {single}) AND NOT contains({text}, {double}) THEN concat({double}, {text}, {double})
+        ELSE concat({single}, {text}, {single}) END"""
 
 
-def _finding(severity: str, *parts: Column | str) -> Column:
-    text = F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.struct(F.lit(severity).alias("severity"), text.alias("message"))
+def features_by_name(features: str) -> str:
+    """SQL for features without repeated names: first position, last definition."""
+    return f"""transform(array_distinct(transform({features}, f -> f.name)),
+        n -> element_at(filter({features}, f -> f.name = n), -1))"""
 
 
-def _each(features: Column, rule: Callable[[Column], Column]) -> Column:
-    return F.filter(F.transform(features, rule), lambda x: x.isNotNull())
+# Readers on the new schema must understand data of the old one.
+BACKWARD_RULE = f"""CASE
+    WHEN _new_by_name[f.name] IS NULL AND f.`default` IS NULL THEN {_finding("error", BACKWARD_REMOVED, "f.name")}
+    WHEN _new_by_name[f.name] IS NULL
+        THEN {_finding("warning", BACKWARD_REMOVED_DEFAULT, "f.name", python_literal("f.`default`"))}
+    WHEN _new_by_name[f.name].dtype <> f.dtype
+        THEN {_finding("error", BACKWARD_RETYPED, "f.name", "f.dtype", "_new_by_name[f.name].dtype")} END"""
 
+# Readers on the old schema must cope with data of the new one.
+FORWARD_RULE = f"""CASE
+    WHEN _old_by_name[f.name] IS NULL AND f.`default` IS NULL THEN {_finding("error", FORWARD_ADDED, "f.name")}
+    WHEN _old_by_name[f.name] IS NULL THEN {_finding("warning", FORWARD_ADDED_DEFAULT, "f.name")}
+    WHEN _old_by_name[f.name].dtype <> f.dtype
+        THEN {_finding("error", FORWARD_RETYPED, "f.name", "_old_by_name[f.name].dtype", "f.dtype")} END"""
 
-def python_literal(json_text: Column) -> Column:
-    """A JSON default as Python would print it."""
-    text = F.get(F.from_json(F.concat(F.lit("["), json_text, F.lit("]")), "array<string>"), F.lit(0))
-    quote = F.when(text.contains("'") & ~text.contains('"'), F.lit('"')).otherwise(F.lit("'"))
-    return (
-        F.when(json_text == "true", "True")
-        .when(json_text == "false", "False")
-        .when(json_text.startswith('"'), F.concat(quote, text, quote))
-        .otherwise(json_text)
-    )
+
+def _renamed(old: str, new: str, column: str, wording: str) -> str:
+    before, after = f"`{old}`.{column}", f"`{new}`.{column}"
+    return f"if({before} <> {after}, array({_finding('error', wording, before, after)}), {NOTHING})"
 
 
-# The wording of the findings below is part of the result.
-def _backward() -> Column:
-    """Readers on the new schema must understand data of the old one."""
-
-    def rule(f: Column) -> Column:
-        now = F.col("_new_by_name")[f["name"]]
-        dropped = "BACKWARD: field '"
-        return (
-            F.when(
-                now.isNull() & f["default"].isNull(),
-                _finding(
-                    "error",
-                    dropped,
-                    f["name"],
-                    "' removed from new schema but had no default — old data cannot be read.",
-                ),
-            )
-            .when(
-                now.isNull(),
-                _finding(
-                    "warning",
-                    dropped,
-                    f["name"],
-                    "' removed; old data will use default=",
-                    python_literal(f["default"]),
-                    ".",
-                ),
-            )
-            .when(
-                now["dtype"] != f["dtype"],
-                _finding(
-                    "error",
-                    "BACKWARD: field '",
-                    f["name"],
-                    "' type changed '",
-                    f["dtype"],
-                    "' → '",
-                    now["dtype"],
-                    "'. Type changes break backward compatibility.",
-                ),
-            )
-        )
-
-    return _each(F.col("_before"), rule)
-
-
-def _forward() -> Column:
-    """Readers on the old schema must cope with data of the new one."""
-
-    def rule(f: Column) -> Column:
-        was = F.col("_old_by_name")[f["name"]]
-        return (
-            F.when(
-                was.isNull() & f["default"].isNull(),
-                _finding(
-                    "error",
-                    "FORWARD: new required field '",
-                    f["name"],
-                    "' (no default) added to schema — old consumers cannot handle this data.",
-                ),
-            )
-            .when(
-                was.isNull(),
-                _finding(
-                    "warning",
-                    "FORWARD: new optional field '",
-                    f["name"],
-                    "' added; old consumers will ignore it.",
-                ),
-            )
-            .when(
-                was["dtype"] != f["dtype"],
-                _finding(
-                    "error",
-                    "FORWARD: field '",
-                    f["name"],
-                    "' type changed '",
-                    was["dtype"],
-                    "' → '",
-                    f["dtype"],
-                    "'.",
-                ),
-            )
-        )
-
-    return _each(F.col("_after"), rule)
-
-
-def _renamed(old: Column, new: Column, column: str, ending: str) -> Column:
-    found = _finding("error", f"{column} renamed '", old[column], "' → '", new[column], ending)
-    return F.when(old[column] != new[column], F.array(found)).otherwise(F.array().cast(FINDING))
+def _prepared(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """Add the features of both specs without repeats, as lists and by name.
+
+    As columns of their own they are worked out once per row rather than once per use.
+    """
+    listed = pairs.withColumns(
+        {
+            "_before": F.expr(features_by_name(f"`{old}`.features")),
+            "_after": F.expr(features_by_name(f"`{new}`.features")),
+        }
+    )
+    return listed.withColumns(
+        {
+            "_old_by_name": F.expr("map_from_entries(transform(_before, f -> struct(f.name, f)))"),
+            "_new_by_name": F.expr("map_from_entries(transform(_after, f -> struct(f.name, f)))"),
+        }
+    )
 
 
 def _findings(pairs: DataFrame, old: str, new: str, mode: str) -> DataFrame:
     """Add `_found`: the findings of a pair of specs under its mode, in rule order."""
-    nothing = F.array().cast(FINDING)
-    was, now, asked = F.col(old), F.col(new), F.col(mode)
-    found = F.concat(
-        F.when(asked.isin("BACKWARD", "FULL"), _backward()).otherwise(nothing),
-        F.when(asked.isin("FORWARD", "FULL"), _forward()).otherwise(nothing),
-        _renamed(was, now, "entity_column", "'. This is never compatible."),
-        _renamed(was, now, "timestamp_column", "'."),
-    )
-    skipped = was.isNull() | (asked == "NONE")
-    return _prepared(pairs, old, new).withColumn("_found", F.when(skipped, nothing).otherwise(found))
+    found = f"""CASE WHEN `{old}` IS NULL OR `{mode}` = 'NONE' THEN {NOTHING} ELSE concat(
+        if(`{mode}` IN ('BACKWARD', 'FULL'),
+           filter(transform(_before, f -> {BACKWARD_RULE}), x -> x IS NOT NULL), {NOTHING}),
+        if(`{mode}` IN ('FORWARD', 'FULL'),
+           filter(transform(_after, f -> {FORWARD_RULE}), x -> x IS NOT NULL), {NOTHING}),
+        {_renamed(old, new, "entity_column", ENTITY_RENAMED)},
+        {_renamed(old, new, "timestamp_column", TIME_RENAMED)}) END"""
+    return _prepared(pairs, old, new).withColumn("_found", F.expr(found))
 
 
 def _messages(severity: str) -> Column:
-    return F.transform(F.filter("_found", lambda x: x["severity"] == severity), lambda x: x["message"])
+    return F.expr(f"transform(filter(_found, x -> x.severity = '{severity}'), x -> x.message)")
 
 
 def check_compatibility(
@@ -178,7 +120,7 @@ def check_compatibility(
         *pairs.columns,
         _messages("error").alias("errors"),
         _messages("warning").alias("warnings"),
-        (~F.exists("_found", lambda x: x["severity"] == "error")).alias("compatible"),
+        F.expr("NOT exists(_found, x -> x.severity = 'error')").alias("compatible"),
     )
 
 
@@ -194,14 +136,9 @@ def audit(
 
 def spec_diff(pairs: DataFrame, keys: Sequence[str], *, old: str = "old_spec", new: str = "new_spec") -> DataFrame:
     """One row per feature of either spec: added, removed, retyped or same."""
-    names = F.array_union(F.map_keys("_old_by_name"), F.map_keys("_new_by_name"))
-    rows = F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("feature_name"),
-            F.col("_old_by_name")[n]["dtype"].alias("old_dtype"),
-            F.col("_new_by_name")[n]["dtype"].alias("new_dtype"),
-        ),
+    rows = F.expr(
+        """transform(array_union(map_keys(_old_by_name), map_keys(_new_by_name)), n -> named_struct(
+            'feature_name', n, 'old_dtype', _old_by_name[n].dtype, 'new_dtype', _new_by_name[n].dtype))"""
     )
     change = (
         F.when(F.col("old_dtype").isNull(), "added")

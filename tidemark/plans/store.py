@@ -74,7 +74,7 @@ class FeatureStore:
         """Register a version of a view and return its number."""
         check_mode(mode)
         proposal = self.spark.createDataFrame([(spec.as_row(), mode)], PROPOSALS)
-        outcome = self.register_schemas(proposal, now=now).first()
+        outcome = self._register(proposal, now or utc_now()).first()
         if not outcome["accepted"]:
             raise IncompatibleSchema(f"Schema not compatible ({mode}): {'; '.join(outcome['errors'])}")
         return outcome["version"]
@@ -85,10 +85,12 @@ class FeatureStore:
         The outcome is written once and everything else reads it back, so that versions
         and catalog cannot disagree.
         """
-        now = now or utc_now()
         names = proposals.groupBy("spec.name").count()
         if not names.where("count > 1").isEmpty():
             raise ValueError("propose one schema per view at a time")
+        return self._register(proposals, now or utc_now())
+
+    def _register(self, proposals: DataFrame, now: dt.datetime) -> DataFrame:
         decisions = f"{self.root}/decisions/batch={uuid.uuid4().hex}"
         registry.decide(self.versions(), proposals).write.parquet(decisions)
         decided = self.spark.read.parquet(decisions)
