@@ -302,7 +302,7 @@ class FeatureStore:
         """One row of log statistics and the number of entities online."""
         offline = offline_stats(self.log.read(self.spec(view)))
         online = online_count(self.online(view).current(now=now or utc_now()), now or utc_now())
-        return offline.crossJoin(online).select(F.lit(view).alias("feature_view"), "*")
+        return offline.select(F.lit(view).alias("feature_view"), "*", online.scalar().alias("online_entities"))
 
     # --- refreshes -----------------------------------------------------------------------
 
