@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import Feature, FeatureStore, FeatureViewSpec
+from tidemark import Feature, FeatureTables, FeatureViewSpec
 from tidemark.plans.store import IncompatibleSchema
 from tidemark.session import scratch_path
 from tidemark.sources import messages
@@ -39,7 +39,7 @@ def ids(spark, *names):
 @pytest.fixture(scope="module")
 def store(spark):
     outbox = scratch_path(spark, "outbox")
-    made = FeatureStore(
+    made = FeatureTables(
         spark,
         scratch_path(spark, "store"),
         updates={"format": "parquet", "path": f"{outbox}/updates"},
@@ -204,7 +204,7 @@ def test_online_values(spark, store):
 
 
 def test_lookup_reads_only_the_buckets_it_needs(spark):
-    store = FeatureStore(spark, scratch_path(spark, "buckets"))
+    store = FeatureTables(spark, scratch_path(spark, "buckets"))
     spec = FeatureViewSpec("many", (Feature("v", "int64"),))
     store.register_schema(spec, now=T0)
     table = store.online("many")
@@ -254,7 +254,7 @@ def test_materialize_and_runs(spark, store):
 
 
 def test_materialize_all_keeps_going(spark):
-    store = FeatureStore(spark, scratch_path(spark, "bulk"))
+    store = FeatureTables(spark, scratch_path(spark, "bulk"))
     for name in ("one", "two"):
         store.register_schema(FeatureViewSpec(name, (Feature("v", "float64"),)), now=T0)
         store.write_features(name, json_rows(spark, ("a", {"v": 1.0}, T0)), now=T0)
@@ -294,7 +294,7 @@ def test_json_files(spark, tmp_path):
 
 
 def test_source_columns_come_from_the_spec(spark):
-    store = FeatureStore(spark, scratch_path(spark, "mapped"))
+    store = FeatureTables(spark, scratch_path(spark, "mapped"))
     spec = FeatureViewSpec("m", (Feature("v", "float64"),), entity_column="uid", timestamp_column="at")
     store.register_schema(spec, now=T0)
     source = spark.createDataFrame([(7, T0, 1)], "uid long, at timestamp, v int")

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import Feature, FeatureStore, FeatureViewSpec
+from tidemark import Feature, FeatureTables, FeatureViewSpec
 from tidemark.model import UPDATE_MESSAGE
 from tidemark.plans.materialize import newest_rows
 from tidemark.session import scratch_path
@@ -33,7 +33,7 @@ def message(i, entity, features, view="clicks", minutes=0, **extra):
 
 @pytest.fixture
 def store(spark):
-    made = FeatureStore(spark, scratch_path(spark, "stream"))
+    made = FeatureTables(spark, scratch_path(spark, "stream"))
     made.register_schema(SPEC, now=T0)
     return made
 
@@ -128,7 +128,7 @@ def test_refresh_and_stream_agree_on_full_rows_in_order(spark, store):
 
 def test_published_writes_come_back_through_the_stream(spark):
     outbox = scratch_path(spark, "outbox")
-    store = FeatureStore(spark, scratch_path(spark, "loop"), updates={"format": "json", "path": outbox})
+    store = FeatureTables(spark, scratch_path(spark, "loop"), updates={"format": "json", "path": outbox})
     store.register_schema(SPEC, now=T0)
     rows = spark.createDataFrame([("a", '{"n": 4}', T0)], "entity_id string, features string, event_timestamp timestamp")
     assert store.write_features("clicks", rows, now=T0) == 1

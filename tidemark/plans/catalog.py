@@ -27,7 +27,7 @@ from tidemark.operators.merge import merge_fields
 from tidemark.operators.stats import offline_stats, offline_stats_by_view, online_count, view_stats
 from tidemark.operators.validate import parse_rows, unknown_features
 from tidemark.plans.materialize import current_runs
-from tidemark.plans.store import FeatureStore
+from tidemark.plans.store import FeatureTables
 from tidemark.plans.views import (
     CUSTOMER_ORDERS,
     USER_ACTIVITY,
@@ -218,7 +218,7 @@ def materialize_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def materialize_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register the view, load the log, refresh the current values and read them back."""
-    store = FeatureStore(spark, scratch_path(spark, "materialize"))
+    store = FeatureTables(spark, scratch_path(spark, "materialize"))
     store.register_schema(USER_ACTIVITY, now=NOW)
     activity = user_activity(spark, sf_dir)
     typed = store.source_rows("user_activity", activity).withColumn("ingest_seq", F.monotonically_increasing_id())
@@ -227,7 +227,7 @@ def materialize_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_columns(store)
 
 
-def online_columns(store: FeatureStore) -> DataFrame:
+def online_columns(store: FeatureTables) -> DataFrame:
     current = store.online("user_activity").current(now=NOW)
     return current.select(
         F.col("entity_id").cast("long").alias("user_id"),
@@ -438,10 +438,10 @@ def update_message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming ---------------------------------------------------------------------------
 
 
-def streamed_store(spark: SparkSession, sf_dir: str) -> FeatureStore:
+def streamed_store(spark: SparkSession, sf_dir: str) -> FeatureTables:
     """Run the events file as a stream of updates into a new store. Signups go to a view
     that does not exist, errors carry an unknown feature."""
-    store = FeatureStore(spark, scratch_path(spark, "stream"))
+    store = FeatureTables(spark, scratch_path(spark, "stream"))
     store.register_schema(USER_ACTIVITY, now=NOW)
     schema = table(spark, sf_dir, "events").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")

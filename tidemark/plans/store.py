@@ -38,7 +38,7 @@ class IncompatibleSchema(ValueError):
     """A proposed schema breaks the compatibility mode it was proposed under."""
 
 
-class FeatureStore:
+class FeatureTables:
     """All tables live under `root`, which every executor must reach.
 
     `updates` and `changes` are sinks for update and schema-change messages, given as

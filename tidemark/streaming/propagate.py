@@ -19,7 +19,7 @@ from tidemark.model import FeatureViewSpec
 from tidemark.operators import registry
 from tidemark.operators.validate import parse_rows
 from tidemark.plans.materialize import utc_now
-from tidemark.plans.store import FeatureStore
+from tidemark.plans.store import FeatureTables
 from tidemark.sources.online_table import OnlineTable
 
 # Marks a TTL that is to be taken from the view.
@@ -45,7 +45,7 @@ def distinct_messages(updates: DataFrame, within: str) -> DataFrame:
 
 
 def apply_batch(
-    store: FeatureStore,
+    store: FeatureTables,
     batch: DataFrame,
     name: str,
     *,
@@ -78,7 +78,7 @@ def apply_batch(
         batch.unpersist()
 
 
-def _active_specs(store: FeatureStore) -> dict[str, FeatureViewSpec]:
+def _active_specs(store: FeatureTables) -> dict[str, FeatureViewSpec]:
     views = registry.views_with_spec(store.catalog(), store.versions())
     return {r["name"]: FeatureViewSpec.from_row(r["spec"]) for r in views.select("name", "spec").collect()}
 
@@ -90,7 +90,7 @@ def _checked(messages: DataFrame, spec: FeatureViewSpec) -> DataFrame:
 
 
 def _write(
-    store: FeatureStore, spec: FeatureViewSpec, rows: DataFrame, name: str, now: dt.datetime, ttl: int | str | None
+    store: FeatureTables, spec: FeatureViewSpec, rows: DataFrame, name: str, now: dt.datetime, ttl: int | str | None
 ) -> None:
     # Rows that the writer has put into the log already are not appended again.
     new = rows.where(~F.coalesce("logged", F.lit(False)))
@@ -101,7 +101,7 @@ def _write(
 
 
 def propagate(
-    store: FeatureStore,
+    store: FeatureTables,
     updates: DataFrame,
     checkpoint: str,
     *,
