@@ -38,7 +38,7 @@ from tidemark.plans.views import (
     user_activity,
     view_events,
 )
-from tidemark.session import scratch_path
+from tidemark.session import pinned, scratch_path
 from tidemark.sources.messages import keyed, spine_from_arrays, update_messages
 from tidemark.streaming.propagate import propagate
 
@@ -489,6 +489,11 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- schemas -----------------------------------------------------------------------------
 
 
+def pinned_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry for queries that read it more than once: derived one time only."""
+    return pinned(schema_versions(spark, sf_dir))
+
+
 def versions_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = registry.with_is_latest(schema_versions(spark, sf_dir))
     return marked.select(
@@ -512,12 +517,12 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compat_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = registry.successive_pairs(schema_versions(spark, sf_dir))
+    pairs = registry.successive_pairs(pinned_versions(spark, sf_dir))
     return audit(pairs, ["feature_view", "version", "mode"])
 
 
 def compat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = registry.successive_pairs(schema_versions(spark, sf_dir))
+    pairs = registry.successive_pairs(pinned_versions(spark, sf_dir))
     return check_compatibility(pairs).select(
         "feature_view",
         "version",
@@ -529,14 +534,14 @@ def compat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = registry.successive_pairs(schema_versions(spark, sf_dir))
+    pairs = registry.successive_pairs(pinned_versions(spark, sf_dir))
     return spec_diff(pairs, ["feature_view", "version"])
 
 
 def register_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every view with its first version registered proposes its second; views that have
     only one version propose that as their first."""
-    versions = schema_versions(spark, sf_dir)
+    versions = pinned_versions(spark, sf_dir)
     newest = registry.latest_version_numbers(versions)
     both = versions.join(newest, "feature_view")
     existing = both.where("version = 1 AND latest_version > 1")
@@ -553,7 +558,7 @@ def register_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check going back to the first version under the mode stored with the newest."""
-    versions = schema_versions(spark, sf_dir)
+    versions = pinned_versions(spark, sf_dir)
     checked = registry.dry_run(versions, versions.where("version = 1").select("spec"))
     return checked.select(
         "feature_view",
