@@ -61,10 +61,15 @@ def labelled_sample(
     return rows
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method, the intercept last; classes weigh alike."""
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, weight_0: float = 1.0, ridge: float = 1e-3, steps: int = 50
+) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, the intercept last.
+
+    Both classes weigh alike in total, class 0 times `weight_0`.
+    """
     x = np.column_stack([x, np.ones(len(x))])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 * weight_0 / max(1, (y == 0).sum()))
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

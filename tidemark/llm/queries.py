@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import compression, sharding
+from tidemark.llm import bpe, compression, sharding, toxicity
+
+#: Where the vocabulary of the public model lies on every machine.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +25,19 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digest(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_compression_quality": op2_compression_quality,
+    "op3_subsequence_toxicity": op3_subsequence_toxicity,
+    "op9_piece_codec": op9_piece_codec,
 }
 
 #: None can be told in SQL that DuckDB runs over whole tables; tests hold them against brute force.
