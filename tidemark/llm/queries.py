@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, compression, sharding, toxicity
+from tidemark.llm import bpe, compression, sharding, simhash, toxicity
 
 #: Where the vocabulary of the public model lies on every machine.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,11 +33,16 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_compression_quality": op2_compression_quality,
     "op3_subsequence_toxicity": op3_subsequence_toxicity,
     "op9_piece_codec": op9_piece_codec,
+    "op10_simhash": op10_simhash,
 }
 
 #: None can be told in SQL that DuckDB runs over whole tables; tests hold them against brute force.

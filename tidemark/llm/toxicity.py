@@ -27,16 +27,16 @@ DECAY = 0.6
 POWER = 5
 #: Words longer than this are looked at in windows of this length that overlap by half.
 WINDOW = 24
-LANDMARKS = 160
+LANDMARKS = 128
 #: Standard errors by which a landmark must be more frequent in toxic texts.
-LEAST_EXCESS = 2.5
+LEAST_EXCESS = 2.0
 #: In the calibration a clean text weighs as much as this many toxic ones, for most texts are clean.
-CLEAN_WEIGHT = 2.0
+CLEAN_WEIGHT = 3.0
 #: Texts whose new words are looked at together.
 TEXTS_AT_ONCE = 256
 #: Training takes at most this many texts of either class, of at most so many characters each.
-PER_CLASS = 2000
-MAX_CHARS = 20_000
+PER_CLASS = 1500
+MAX_CHARS = 8_000
 #: Words without a margin that a worker remembers, in each of two generations.
 REMEMBERED_WORDS = 300_000
 
@@ -214,20 +214,22 @@ class KernelMachine:
         self.__init__(*state["args"])
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss, the bias last; y is 1 or -1."""
+def _squared_hinge(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss, the bias last.
+
+    Each row of `x` stands for examples of both classes, with the weights `toxic` and `clean`.
+    """
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    keep = np.ones(len(x), dtype=bool)
     penalty = ridge * np.eye(x.shape[1])
     penalty[-1, -1] = 1e-9
+    up, down = toxic, clean
     for _ in range(30):
-        a = x[keep] * share[keep, None]
-        w = np.linalg.solve(a.T @ x[keep] + penalty, a.T @ y[keep])
-        now = y * (x @ w) < 1
-        if (now == keep).all():
+        w = np.linalg.solve((x * (up + down)[:, None]).T @ x + penalty, x.T @ (up - down))
+        margin = x @ w
+        now = np.where(margin < 1, toxic, 0), np.where(margin > -1, clean, 0)
+        if (now[0] == up).all() and (now[1] == down).all():
             break
-        keep = now
+        up, down = now
     return w
 
 
@@ -238,9 +240,10 @@ def train(rows: Sequence[tuple[str, int]]) -> KernelMachine:
     prior = 0.0 if not rows else n_toxic / (len(rows) + 2)
     if not n_toxic or n_toxic == len(rows):
         return KernelMachine([], np.zeros(0), 0.0, (), prior)
-    bags = [({letters_of(w)[:WINDOW] for w in plain_words(t)}, y) for t, y in rows]
-    toxic = Counter(w for words, y in bags if y for w in words if len(w) >= ORDER)
-    clean = Counter(w for words, y in bags if not y for w in words if len(w) >= ORDER)
+    seen_in = (Counter(), Counter())
+    for text, label in rows:
+        seen_in[label].update({core for w in plain_words(text) if len(core := letters_of(w)[:WINDOW]) >= ORDER})
+    clean, toxic = seen_in
     n_clean = len(rows) - n_toxic
     # How much more often a word stands in toxic texts, in standard errors; ties by the word.
     def excess(w: str) -> float:
@@ -257,18 +260,26 @@ def train(rows: Sequence[tuple[str, int]]) -> KernelMachine:
     # What the screen takes as 0 can make the matrix slightly indefinite.
     values = np.maximum(values, 1e-3)
     root = vectors @ np.diag(values**-0.5) @ vectors.T
+    # A word of toxic texts counts as far as it is more frequent there than in clean ones. Words
+    # that resemble no landmark are one point, as they have all but the same features.
     words = sorted(set(toxic) | set(clean))
-    x = np.concatenate([draft.similar(words[at : at + 8192]) for at in range(0, len(words), 8192)]) @ root
-    a = np.array([toxic[w] for w in words]) / n_toxic
-    b = np.array([clean[w] for w in words]) / n_clean
-    y = np.concatenate([np.ones(len(words)), -np.ones(len(words))])
-    share = np.concatenate([a, b])
-    # A word of toxic texts counts as far as it is more frequent there than in clean ones.
-    share[: len(words)] = np.maximum(a - b, 0)
-    used = share > 0
-    w = _squared_hinge(np.concatenate([x, x])[used], y[used], share[used], ridge=0.01)
+    points, shares = [np.zeros((1, len(landmarks)))], [np.zeros((1, 2))]
+    for at in range(0, len(words), 2048):
+        part = words[at : at + 2048]
+        near = draft.similar(part)
+        a = np.array([toxic[w] for w in part]) / n_toxic
+        b = np.array([clean[w] for w in part]) / n_clean
+        share = np.column_stack([np.maximum(a - b, 0), b])
+        like = (near > 0.01).any(axis=1)
+        points.append(near[like])
+        shares.append(share[like])
+        shares[0] += share[~like].sum(axis=0)
+    share = np.concatenate(shares)
+    w = _squared_hinge(np.concatenate(points) @ root, share[:, 0], share[:, 1], ridge=0.01)
     machine = KernelMachine(landmarks, root @ w[:-1], float(w[-1]), (), prior)
-    seen = machine.features([t for t, _ in rows])
+    seen = np.concatenate(
+        [machine.features([t for t, _ in rows[at : at + TEXTS_AT_ONCE]]) for at in range(0, len(rows), TEXTS_AT_ONCE)]
+    )
     machine.calibration = tuple(fit_logistic(seen, np.array([y for _, y in rows]), weight_0=CLEAN_WEIGHT).tolist())
     return machine
 
