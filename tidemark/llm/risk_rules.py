@@ -148,21 +148,22 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = FALSE_REJECTION, delta: f
         *[
             F.struct(
                 F.lit(r).alias("rule"),
-                sum((F.col(r) > c).cast("int") for c in MEASURES[r]).alias("over"),
+                # The first step at which the text would be rejected; cutoffs fall from step to step.
+                sum((F.col(r) <= c).cast("int") for c in MEASURES[r]).alias("first"),
             )
             for r in rules
         ]
     )
     bins = (
         labelled.select("stratum", "good", F.inline(binned))
-        .groupBy("stratum", "rule", "over")
+        .groupBy("stratum", "rule", "first")
         .agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     )
     # A row for every cutoff, also for those that no text comes to lie between.
     cutoffs = F.create_map(*[x for r in rules for x in (F.lit(r), F.array(*map(F.lit, MEASURES[r])))])
     steps = (
         bins.groupBy("stratum", "rule")
-        .agg(F.collect_list(F.struct("over", "good", "bad")).alias("bins"))
+        .agg(F.collect_list(F.struct("first", "good", "bad")).alias("bins"))
         .select("stratum", "rule", "bins", F.posexplode(F.element_at(cutoffs, F.col("rule"))).alias("step", "cutoff"))
     )
 
@@ -171,7 +172,7 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = FALSE_REJECTION, delta: f
         return F.aggregate(
             "bins",
             zero,
-            lambda s, b: s + F.when(F.lit(all_bins) | (b["over"] > F.col("step")), b[name]).otherwise(zero),
+            lambda s, b: s + F.when(F.lit(all_bins) | (b["first"] <= F.col("step")), b[name]).otherwise(zero),
         )
 
     tested = steps.select(
