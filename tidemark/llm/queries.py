@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, compression, risk_rules, sharding, simhash, toxicity
+from tidemark.llm import bpe, compression, html_text, pii, risk_rules, sharding, simhash, toxicity
 
 #: Where the vocabulary of the public model lies on every machine.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,10 +29,19 @@ def op3_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find_spans(docs, pii.trained_model(docs))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -45,7 +54,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_compression_quality": op2_compression_quality,
     "op3_subsequence_toxicity": op3_subsequence_toxicity,
+    "op4_dom_trees": op4_dom_trees,
     "op5_risk_controlled_rules": op5_risk_controlled_rules,
+    "op8_candidate_boosting": op8_candidate_boosting,
     "op9_piece_codec": op9_piece_codec,
     "op10_simhash": op10_simhash,
 }
