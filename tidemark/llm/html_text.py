@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from html import escape
 from html.parser import HTMLParser
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -49,7 +52,7 @@ TAG_FEATURES = ("p", "div", "li", "ul", "a", "td", "section", "article", "main",
 TOKEN = re.compile(r"[a-z]+")
 
 #: Training reads at most this many pages of at most so many characters each.
-SAMPLE_PAGES = 1500
+SAMPLE_PAGES = 800
 SAMPLE_CHARS = 100_000
 #: Elements nested deeper than this are taken as children of the one at this depth.
 DEEPEST = 200
@@ -271,7 +274,10 @@ class Tree(HTMLParser):
 
         The gain of keeping a node is its log odds times the text in it; dropping a node drops its
         whole subtree, so from the leaves up a subtree is kept if its gains add up to more than 0.
+        A page without any block element is kept as it is.
         """
+        if len(self.nodes) == 1:
+            return [True]
         gain = [m * (node.chars + 1) for m, node in zip(margins.tolist(), self.nodes)]
         for at in range(len(self.nodes) - 1, 0, -1):
             if gain[at] > 0:
@@ -313,18 +319,89 @@ class PageModel:
         return ["" if t is None else t.text(t.kept(next(margins))) for t in trees]
 
 
+#: Frames that surround main text in rewritten training pages, and things that stand around or in it.
+FRAMES = (
+    "<article itemprop='articleBody'>{}</article>",
+    "<main><div itemprop='articleBody'>{}</div></main>",
+    "<div class='content' itemprop='articleBody'>{}</div>",
+    "<div id='main'><div class='post-body' itemprop='articleBody'>{}</div></div>",
+    "<section class='entry' itemprop='articleBody'>{}</section>",
+    "<div class='wrap'><div class='col' itemprop='articleBody'>{}</div></div>",
+    "<div class='row' itemprop='articleBody'><div class='text'>{}</div></div>",
+    "<div itemprop='articleBody'>{}</div>",
+)
+CLUTTER = (
+    "<nav><ul><li><a href='#'>{0}</a><li><a href='#'>{1}</a></ul></nav>",
+    "<div class='menu'><a href='#'>{0}</a> <a href='#'>{1}</a></div>",
+    "<header><h1>{0}</h1><p>{1}</p></header>",
+    "<div class='site-header'><h2>{0}</h2></div>",
+    "<aside><h3>{0}</h3><p>{2}</p></aside>",
+    "<div class='sidebar'><h3>{0}</h3><p>{2}</p><ul><li><a href='#'>{1}</a></ul></div>",
+    "<div class='cookie-notice'><p>{2}</p></div>",
+    "<div class='notice' role='alert'>{2}</div>",
+    "<div class='ad'>{2}</div>",
+    "<div class='sponsored promo'><p>{2}</p></div>",
+    "<form action='#'><p>{2}</p><label>{0}</label></form>",
+    "<div class='newsletter signup'><p>{2}</p></div>",
+    "<div class='share'><a href='#'>{0}</a></div>",
+    "<section id='comments'><div class='comment'><p>{2}</p></div><div class='comment'><p>{3}</p></div></section>",
+    "<div class='comments'><h3>{0}</h3><p>{2}</p><p>{3}</p></div>",
+    "<ol class='comment-list'><li><p>{2}</p><li><p>{3}</p></ol>",
+    "<div class='related'><ul><li><a href='#'>{0}</a><li><a href='#'>{1}</a></ul></div>",
+    "<footer><p>{2}</p></footer>",
+    "<div id='footer' class='legal'>{2}</div>",
+)
+PARAGRAPHS = ("<p>{}</p>", "<p>{}", "<p>{}</p>", "<div>{}</div>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</ul>")
+
+
+def rewritten(lines: Sequence[str], rng: random.Random) -> str:
+    """A page with `lines` as its main text, in another frame, with clutter made of the same words.
+
+    Real samples know few layouts; words alone must not tell main text from clutter.
+    """
+
+    def clutter() -> str:
+        line = rng.choice(lines).split()
+        few = [" ".join(line[:n]) for n in (1, 2)]
+        many = [" ".join(rng.choice(lines).split()[: rng.randint(3, 40)]) for _ in range(2)]
+        return rng.choice(CLUTTER).format(*map(escape, [*few, *many]))
+
+    body = []
+    if rng.random() < 0.7:
+        body.append(rng.choice(("<h1>{}</h1>", "<h2>{}</h2>")).format(escape(" ".join(rng.choice(lines).split()[:8]))))
+    for line in lines:
+        body.append(rng.choice(PARAGRAPHS).format(escape(line)))
+        if rng.random() < 0.1:
+            body.append(clutter())
+    if rng.random() < 0.3:
+        body.append(clutter())
+    if rng.random() < 0.1:
+        return f"<html><body itemprop='articleBody'>{''.join(body)}</body></html>"
+    before = "".join(clutter() for _ in range(rng.randint(0, 3)))
+    after = "".join(clutter() for _ in range(rng.randint(0, 3)))
+    main = rng.choice(FRAMES).format("".join(body))
+    return f"<html><body>{before}{main}{after}</body></html>"
+
+
 def train(pages: Sequence[str]) -> PageModel:
     """Trees from the nodes of sample pages on which the markup itself tells what is main text.
 
-    A node above an article takes its label from most of its text, so that what an article lies in
+    Each of these pages is used as it is and once more rewritten. A node above an article takes its label from most of its text, so that what an article lies in
     is not taken for a menu.
     """
     x, y = [], []
+    samples = []
     for page in pages:
         tree = Tree(page)
         hints = tree.hints()
         if 1 not in hints:
             continue
+        samples.append((tree, hints))
+        lines = tree.text([h == 1 for h in hints]).split("\n")
+        if lines[0]:
+            tree = Tree(rewritten(lines, random.Random(crc32(page.encode("utf-8", "replace")))))
+            samples.append((tree, tree.hints()))
+    for tree, hints in samples:
         main = [node.chars * (hint == 1) for node, hint in zip(tree.nodes, hints)]
         for at in range(len(tree.nodes) - 1, 0, -1):
             main[tree.nodes[at].parent] += main[at]
