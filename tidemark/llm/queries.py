@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, compression, html_text, pii, raking, risk_rules, sharding, simhash, toxicity
+from tidemark.llm import bpe, compression, html_text, pii, prefix_tree, raking, risk_rules, sharding, simhash, toxicity
 
 #: Where the vocabulary of the public model lies on every machine.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,6 +41,10 @@ def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.sampled_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.join_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pii.find_spans(docs, pii.trained_model(docs))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_dom_trees": op4_dom_trees,
     "op5_risk_controlled_rules": op5_risk_controlled_rules,
     "op6_raked_mixture": op6_raked_mixture,
+    "op7_prefix_tree_join": op7_prefix_tree_join,
     "op8_candidate_boosting": op8_candidate_boosting,
     "op9_piece_codec": op9_piece_codec,
     "op10_simhash": op10_simhash,
