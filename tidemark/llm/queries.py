@@ -88,15 +88,15 @@ ORACLE: dict[str, str] = {
             SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM words
             GROUP BY ALL HAVING sum(n_tokens) > 0
         ), sources AS (
-            SELECT source, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS share FROM cells GROUP BY source
+            SELECT source, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) OVER () AS share FROM cells GROUP BY source
         ), langs AS (
             SELECT lang, want / sum(want) OVER () AS share FROM (
                 SELECT lang, sum(tokens) AS tokens,
-                    CASE lang WHEN 'en' THEN 0.56 WHEN 'de' THEN 0.16 WHEN 'fr' THEN 0.16 WHEN 'es' THEN 0.12
+                    CASE lang WHEN 'en' THEN 0.6 WHEN 'de' THEN 0.15 WHEN 'fr' THEN 0.15 WHEN 'es' THEN 0.1
                         ELSE 0 END::DOUBLE AS want
                 FROM cells GROUP BY lang)
         ), topics AS (
-            SELECT topic, pow(sum(tokens), 0.9) / sum(pow(sum(tokens), 0.9)) OVER () AS share FROM cells GROUP BY topic
+            SELECT topic, pow(sum(tokens), 0.95) / sum(pow(sum(tokens), 0.95)) OVER () AS share FROM cells GROUP BY topic
         ), raked AS (
             SELECT 0 AS step, source, lang, topic, tokens, s.share AS s, l.share AS l, t.share AS t, tokens AS weight
             FROM cells JOIN sources s USING (source) JOIN langs l USING (lang) JOIN topics t USING (topic)

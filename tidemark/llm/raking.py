@@ -18,9 +18,9 @@ from tidemark.llm.common import SPACE_CLASS, saved
 Targets = Mapping[str, Mapping[str, float] | float]
 
 SOURCE_LANGUAGE_TOPIC: Targets = {
-    "source": 0.5,
-    "lang": {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.12},
-    "topic": 0.9,
+    "source": 0.7,
+    "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1},
+    "topic": 0.95,
 }
 #: Rounds of raking, and how many are planned at once between two writes of the cells.
 ROUNDS = 30
