@@ -75,7 +75,7 @@ def main() -> int:
     con = connect(sf_dir)
     failed = 0
     for name, query in queries().items():
-        if len(sys.argv) > 2 and name not in sys.argv[2:]:
+        if name not in oracle_sql() or len(sys.argv) > 2 and name not in sys.argv[2:]:
             continue
         start = time.time()
         try:
