@@ -23,8 +23,8 @@ from tidemark.llm.common import fit_logistic, fold, labelled_sample, logistic
 
 #: Letters of a shared subsequence; how much each letter of its span counts; sharpening power.
 ORDER = 3
-DECAY = 0.6
-POWER = 5
+DECAY = 0.9
+POWER = 3
 #: Words longer than this are looked at in windows of this length that overlap by half.
 WINDOW = 24
 LANDMARKS = 128
@@ -32,6 +32,8 @@ LANDMARKS = 128
 LEAST_EXCESS = 2.0
 #: In the calibration a clean text weighs as much as this many toxic ones, for most texts are clean.
 CLEAN_WEIGHT = 3.0
+#: Disguised forms of a landmark together weigh this much of the landmark in training.
+DISGUISED_WEIGHT = 1.0
 #: Texts whose new words are looked at together.
 TEXTS_AT_ONCE = 256
 #: Training takes at most this many texts of either class, of at most so many characters each.
@@ -233,6 +235,11 @@ def _squared_hinge(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, ridge: f
     return w
 
 
+def disguised(word: str) -> set[str]:
+    """The word with a letter put in, or one doubled, after any but its last letter."""
+    return {word[:k] + c + word[k:] for k in range(1, len(word)) for c in ("x", "h", word[k])}
+
+
 def train(rows: Sequence[tuple[str, int]]) -> KernelMachine:
     """A machine from labelled texts; with a class missing every score is the share of toxic rows."""
     rows = [(t, y) for t, y in dict.fromkeys(rows) if t]
@@ -274,6 +281,12 @@ def train(rows: Sequence[tuple[str, int]]) -> KernelMachine:
         points.append(near[like])
         shares.append(share[like])
         shares[0] += share[~like].sum(axis=0)
+    # Written with a letter put in or doubled, a landmark is as toxic as the landmark itself.
+    for word in landmarks:
+        forms = sorted(disguised(word))
+        points.append(draft.similar(forms))
+        weight = max(toxic[word] / n_toxic - clean[word] / n_clean, 0) * DISGUISED_WEIGHT / len(forms)
+        shares.append(np.tile([weight, 0.0], (len(forms), 1)))
     share = np.concatenate(shares)
     w = _squared_hinge(np.concatenate(points) @ root, share[:, 0], share[:, 1], ridge=0.01)
     machine = KernelMachine(landmarks, root @ w[:-1], float(w[-1]), (), prior)
