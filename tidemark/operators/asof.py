@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import broadcast_limit, pinned, plan_bytes
+from tidemark.session import broadcast_limit, pinned, sized_bytes, unsized
 
 # Rows of one entity that a single sort task takes comfortably.
 HOT_ROWS = 4_000_000
@@ -31,8 +31,11 @@ HOT_ROWS = 4_000_000
 MAX_SLICES = 1024
 # Sampled rows per slice when cut points are chosen. They only steer balance.
 SAMPLES_PER_SLICE = 32
-# Inputs below this size cannot hold an entity worth slicing.
-SMALL_INPUT_BYTES = 256 << 20
+# A row takes at least about this many bytes, whatever the compression; inputs whose size rules out
+# enough rows for a hot entity are not searched.
+ROW_BYTES = 1
+# A spine of so many rows is always small, however large or small the log is.
+SHORT_SPINE_ROWS = 10_000
 # Bound on broadcast cut points and label instants, in array elements.
 MAX_BROADCAST_ITEMS = 2_000_000
 # The log must be this many times the broadcast limit before `marks` pays off.
@@ -201,8 +204,10 @@ def _hot_bounds(
     """
     if hot_rows is None:
         return None
-    if hot_rows >= HOT_ROWS and plan_bytes(spine) + plan_bytes(log) <= SMALL_INPUT_BYTES:
-        return None
+    if hot_rows >= HOT_ROWS:
+        # No entity has more rows than there are; files tell their row counts without being read.
+        if sized_bytes(spine) + sized_bytes(log) <= hot_rows * ROW_BYTES or spine.count() + log.count() <= hot_rows:
+            return None
     keys = (
         spine.select(*by, F.col(spine_ts).alias("_ts"))
         .where(_all_set([*by, "_ts"]))
@@ -244,7 +249,7 @@ def _hot_bounds(
     )
     points = points.groupBy(*by, F.col("_p.ts").alias("ts")).agg(F.max("_p.salts").alias("salts"))
     sorted_points = F.sort_array(F.collect_list(F.struct("ts", "salts")))
-    return pinned(
+    bounds = pinned(
         points.groupBy(*by)
         .agg(sorted_points.alias("_points"))
         .select(
@@ -253,6 +258,8 @@ def _hot_bounds(
             F.concat(F.col("_points.salts"), F.array(F.lit(1).cast("long"))).alias("_slot_salts"),
         )
     )
+    # A sample may be too small for a cut; the entity is then one slice, just over the limit.
+    return None if bounds.isEmpty() else bounds
 
 
 def _sized(small: DataFrame, items: int) -> DataFrame:
@@ -304,12 +311,15 @@ def _small_marks(
 ) -> DataFrame | None:
     """Distinct label instants per entity, if they are few enough to broadcast."""
     limit = broadcast_limit(spine.sparkSession)
-    if not forced and (plan_bytes(spine) > limit or plan_bytes(log) < LARGE_LOG_FACTOR * limit):
+    short = unsized(spine) and spine.count() <= SHORT_SPINE_ROWS
+    if not forced and not short and (sized_bytes(spine) > limit or sized_bytes(log) < LARGE_LOG_FACTOR * limit):
         return None
     distinct = spine.select(*by, F.col(spine_ts).alias("_mark")).where(_all_set([*by, "_mark"])).distinct()
     per_entity = distinct.groupBy(*by).agg(F.count("*").alias("_n"))
     total, widest = per_entity.agg(F.sum("_n"), F.max("_n")).first()
     if (total or 0) > MAX_BROADCAST_ITEMS or (widest or 0) > MAX_SLICES:
+        if forced:
+            raise ValueError("the spine has too many label instants for strategy 'marks'")
         return None
     return distinct.groupBy(*by).agg(F.sort_array(F.collect_list("_mark")).alias("_marks"))
 

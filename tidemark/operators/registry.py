@@ -139,7 +139,8 @@ def catalog(events: DataFrame) -> DataFrame:
     return (
         events.groupBy("name")
         .agg(
-            F.max_by(F.struct(*SPEC_COLUMNS), registered).alias("_spec"),
+            # Of registrations at one instant the higher version is the later one.
+            F.max_by(F.struct(*SPEC_COLUMNS), F.when(registered.isNotNull(), F.struct(registered, "schema_version"))).alias("_spec"),
             F.min("changed_at").alias("created_at"),
             F.max("changed_at").alias("updated_at"),
             F.bool_and("is_active").alias("is_active"),

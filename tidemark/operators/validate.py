@@ -16,15 +16,22 @@ def unknown_features(keys: Column, names: Sequence[str]) -> Column:
     return F.array_except(keys, F.array(*[F.lit(n) for n in names]).cast("array<string>"))
 
 
-def parse_rows(rows: DataFrame, spec: FeatureViewSpec, *, check_types: bool = False) -> DataFrame:
+def parse_rows(
+    rows: DataFrame, spec: FeatureViewSpec, *, check_types: bool = True, retired: Column | None = None
+) -> DataFrame:
     """Rows with JSON payloads as typed columns, `feature_keys` and `problem`.
 
-    `problem` is null for a valid row. Missing features are allowed. Types are only checked
-    on request; without that a value that does not fit its dtype reads as null.
+    `problem` is null for a valid row. Missing features are allowed. A value that does not fit its
+    dtype is a problem; without `check_types` it reads as null. `retired` names features that a row
+    may still set although the schema has dropped them; they are left out.
     """
     others = [c for c in rows.columns if c != "features"]
+    keys = payload_keys(F.col("features"))
+    if retired is not None:
+        known = F.array(*[F.lit(n) for n in spec.feature_names]).cast("array<string>")
+        keys = F.array_except(keys, F.array_except(F.coalesce(retired, F.array().cast("array<string>")), known))
     parsed = rows.select(
-        *others, payload_keys(F.col("features")).alias("feature_keys"), parse_payload(F.col("features"), spec).alias("_p"),
+        *others, keys.alias("feature_keys"), parse_payload(F.col("features"), spec).alias("_p"),
         F.col("features").alias("_raw"),
     )
     unknown = unknown_features(F.col("feature_keys"), spec.feature_names)

@@ -444,8 +444,8 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> FeatureTables:
     store = FeatureTables(spark, scratch_path(spark, "stream"))
     store.register_schema(USER_ACTIVITY, now=NOW)
     schema = table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    events = reader.parquet(sf_dir)
+    # As a pattern the path is right for a file and for a folder of files.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events[.]parquet")
     raw = raw_payload(
         events.withColumn("k", payload_k()).withColumn("ingest_seq", (F.col("event_id") + F.col("k") * 97) * 128 + F.col("k"))
     )

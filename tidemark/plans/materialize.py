@@ -61,7 +61,7 @@ class Materializer:
         self._record(job)
         try:
             if spec is None:
-                raise LookupError(f"Feature view '{view}' not found")
+                raise LookupError(f"no active view '{view}'")
             # Only a cut at `end` may drop log rows before the newest one is picked.
             log = self.log.read(spec, end=end if as_of_end else None)
             newest = newest_rows(log, start=start, end=end)

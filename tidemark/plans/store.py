@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,12 +25,23 @@ from tidemark.operators.stats import offline_stats, online_count
 from tidemark.operators.validate import parse_rows
 from tidemark.plans.materialize import Materializer, utc_now
 from tidemark.sources.feature_log import FeatureLog
-from tidemark.sources.messages import change_messages, check_mode, keyed, send, update_messages
+from tidemark.sources.messages import (
+    CHANGES_TOPIC,
+    UPDATES_TOPIC,
+    change_messages,
+    check_mode,
+    keyed,
+    send,
+    update_messages,
+)
 from tidemark.sources.online_table import OnlineTable
 from tidemark.sources.tables import add_records, records, rows
 
 logger = logging.getLogger(__name__)
 
+# Kinds of problems that an error lists.
+SHOWN_PROBLEMS = 10
+
 PROPOSALS = T.StructType([T.StructField("spec", SPEC_TYPE), T.StructField("compatibility_mode", T.StringType())])
 
 
@@ -76,7 +87,7 @@ class FeatureTables:
         proposal = self.spark.createDataFrame([(spec.as_row(), mode)], PROPOSALS)
         outcome = self._register(proposal, now or utc_now()).first()
         if not outcome["accepted"]:
-            raise IncompatibleSchema(f"Schema not compatible ({mode}): {'; '.join(outcome['errors'])}")
+            raise IncompatibleSchema(f"refused under {mode}: {'; '.join(outcome['errors'])}")
         return outcome["version"]
 
     def register_schemas(self, proposals: DataFrame, *, now: dt.datetime | None = None) -> DataFrame:
@@ -113,7 +124,7 @@ class FeatureTables:
         add_records(new_versions, f"{self.root}/schema_versions")
         add_records(new_events, f"{self.root}/view_events")
         if self.changes:
-            self._publish(change_messages(registry.change_feed(accepted), now=now), self.changes)
+            self._publish(change_messages(registry.change_feed(accepted), now=now), self.changes, CHANGES_TOPIC)
         return decided
 
     def check_schema(self, spec: FeatureViewSpec) -> dict:
@@ -157,7 +168,7 @@ class FeatureTables:
         versions = self.versions().where(F.col("feature_view") == view)
         found = registry.views_with_spec(views, versions).select("spec").first()
         if found is None:
-            raise LookupError(f"Feature view '{view}' not found")
+            raise LookupError(f"no active view '{view}'")
         return FeatureViewSpec.from_row(found["spec"])
 
     # --- writes --------------------------------------------------------------------------
@@ -194,9 +205,17 @@ class FeatureTables:
         spec = self.spec(view)
         now, batch = now or utc_now(), batch or uuid.uuid4().hex
         parsed = parse_rows(json_rows, spec)
-        problems = [r["problem"] for r in parsed.where("problem IS NOT NULL").select("problem").distinct().take(10)]
+        kinds = parsed.where("problem IS NOT NULL").groupBy("problem").agg(F.count("*").alias("n"))
+        # The most frequent problems are shown; the counts cover all rows.
+        shown = kinds.select(
+            "*", F.sum("n").over(Window.partitionBy()).alias("all"), F.count("*").over(Window.partitionBy()).alias("kinds")
+        )
+        problems = shown.orderBy(F.desc("n"), "problem").limit(SHOWN_PROBLEMS).collect()
         if problems:
-            raise ValueError(f"rows refused for '{view}': {'; '.join(sorted(problems))}")
+            first = problems[0]
+            more = f"; and {first['kinds'] - len(problems)} more problems" if first["kinds"] > len(problems) else ""
+            listed = "; ".join(f"{p['problem']} ({p['n']})" for p in problems)
+            raise ValueError(f"{first['all']} rows refused for '{view}': {listed}{more}")
         typed = parsed.drop("problem").withColumn("message_id", F.uuid())
         n = self.log.append(spec, typed, now=now, batch=batch)
         if self.updates:
@@ -209,9 +228,9 @@ class FeatureTables:
             self._publish(keyed(messages), self.updates)
         return n
 
-    def _publish(self, keyed_rows: DataFrame, sink: Mapping[str, str]) -> None:
+    def _publish(self, keyed_rows: DataFrame, sink: Mapping[str, str], topic: str = UPDATES_TOPIC) -> None:
         try:
-            send(keyed_rows, sink)
+            send(keyed_rows, sink, topic)
         except Exception as error:
             logger.warning("publishing failed: %s", error)
 

@@ -63,6 +63,16 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def unsized(df: DataFrame) -> bool:
+    """Whether the optimizer has no estimate, as for rows made in Python."""
+    return plan_bytes(df) >= 1 << 60
+
+
+def sized_bytes(df: DataFrame) -> int:
+    """`plan_bytes`, or where the optimizer has no estimate one from the counted rows."""
+    return df.count() * 16 * max(1, len(df.columns)) if unsized(df) else plan_bytes(df)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """The session's automatic broadcast limit in bytes; 0 when broadcasting is off."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")

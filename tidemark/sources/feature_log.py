@@ -33,7 +33,8 @@ class FeatureLog:
         """Add typed rows of a view and return how many were written.
 
         `created_at`, `ingest_seq`, `message_id` and `feature_keys` are filled in where the
-        rows lack them; a missing event time becomes `now`.
+        rows lack them; a missing event time becomes `now`. Rows without `feature_keys` set the
+        features they have a column for, so that others keep their current values.
         """
         batch = batch or uuid.uuid4().hex
         given = set(rows.columns)
@@ -41,7 +42,7 @@ class FeatureLog:
             "created_at": as_timestamp(now),
             "ingest_seq": F.monotonically_increasing_id(),
             "message_id": F.lit(None).cast("string"),
-            "feature_keys": F.array(*[F.lit(n) for n in spec.feature_names]),
+            "feature_keys": F.array(*[F.lit(n) for n in spec.feature_names if n in given]).cast("array<string>"),
         }
         columns = []
         for field in spec.log_schema().fields:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,38 @@ KAFKA_PRODUCER = {
     "kafka.enable.idempotence": "true",
     "kafka.compression.type": "gzip",
 }
-# Topic names, the start position and the poll size of the update consumer.
+# Topic names and the start position of the update consumer. How many updates a
+# micro-batch takes is left to the source, as a cap would hold the stream to so many per trigger.
 UPDATES_TOPIC = "feature-updates"
 CHANGES_TOPIC = "schema-changes"
-KAFKA_CONSUMER = {"startingOffsets": "earliest", "maxOffsetsPerTrigger": "100"}
+KAFKA_CONSUMER = {"startingOffsets": "earliest"}
 
 
 def read_feature_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Feature rows from a file that holds a JSON array or one object per line."""
-    raw = spark.read.schema("entity_id string, features string, event_timestamp string").option("multiLine", "true")
-    return raw.json(path).withColumn("event_timestamp", parse_timestamp(F.col("event_timestamp"))).select(
+    """Feature rows from files that each hold a JSON array or one object per line.
+
+    A file is an array if its first character that is not white space is a bracket. Files of
+    lines are split over tasks; an array is parsed by one task.
+    """
+    schema = "entity_id string, features string, event_timestamp string"
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        # Lines of a block keep their order, and so does the number each row is given.
+        F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace("value", r"^\s+", "").alias("text"),
+    )
+    first = F.min_by(F.substring("text", 1, 1), F.struct("block", "at"))
+    heads = lines.where(F.col("text") != "").groupBy("file").agg(first.alias("head")).collect()
+    arrays = [r["file"] for r in heads if r["head"] == "["]
+    others = [r["file"] for r in heads if r["head"] != "["]
+    parts = []
+    if arrays:
+        parts.append(spark.read.schema(schema).option("multiLine", "true").json(arrays))
+    if others:
+        parts.append(spark.read.schema(schema).json(others))
+    raw = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return raw.withColumn("event_timestamp", parse_timestamp(F.col("event_timestamp"))).select(
         FEATURE_ROWS.fieldNames()
     )
 
@@ -83,9 +106,17 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json_default(feature: Any) -> Any:
-    """The default's JSON text, quotes included; a JSON null counts as no default."""
-    fields = F.from_json(feature, "struct<default:variant>")
-    return F.to_json(fields["default"])
+    """The default's JSON text as it is written, quotes included; a JSON null counts as no default.
+
+    A text value is told from a number or a list of the same spelling by its kind.
+    """
+    bare = F.from_json(feature, "struct<default:string>")["default"]
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(feature), "$.default", "variant"))
+    quoted = F.to_json(F.struct(bare.alias("d")))
+    # Lists hold numbers only, which are listed with a space after the comma.
+    listed = F.regexp_replace(bare, r",\s*", ", ")
+    # The object has five characters before its one value and a brace after it.
+    return F.when(kind == "STRING", F.substr(quoted, F.lit(6), F.length(quoted) - 6)).when(kind.startswith("ARRAY"), listed).otherwise(bare)
 
 
 def spine_from_arrays(rows: DataFrame, entity_ids: str, timestamps: str) -> DataFrame:
@@ -142,15 +173,16 @@ def change_messages(changes: DataFrame, *, now: Any) -> DataFrame:
     return body.select(F.col("feature_view").alias("key"), F.to_json(F.struct("*"), nulls).alias("value"))
 
 
-def send(keyed_rows: DataFrame, sink: Mapping[str, str]) -> None:
+def send(keyed_rows: DataFrame, sink: Mapping[str, str], topic: str = UPDATES_TOPIC) -> None:
     """Write keyed messages to a sink given as `format` plus its options.
 
+    `topic` is that of a Kafka sink that names none.
     Kafka needs its connector on the class path; a file format needs `path`.
     """
     options = dict(sink)
     fmt = options.pop("format")
     if fmt == "kafka":
-        options = {**KAFKA_PRODUCER, "topic": UPDATES_TOPIC, **options}
+        options = {**KAFKA_PRODUCER, "topic": topic, **options}
     keyed_rows.write.format(fmt).mode("append").options(**options).save()
 
 

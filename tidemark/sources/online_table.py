@@ -3,7 +3,10 @@
 A batch never rewrites the table. It adds a delta with one merged row per entity and then
 one line to the manifest, so a batch is visible as a whole or not at all, and a batch name
 that is already listed is not applied twice. Reads merge base and deltas field by field;
-`compact` folds them into a new base. One writer at a time per view.
+`compact` folds them into a new base and names the batches it covers, so a batch that another
+writer lists meanwhile is still read after it. Writers do not wait for each other: each batch has
+a folder of its own, and batches that took the same number count in the order of their names. Two
+compactions of one view must not run at once.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ MANIFEST = T.StructType(
         T.StructField("batch", T.StringType()),
         T.StructField("path", T.StringType()),
         T.StructField("buckets", T.IntegerType()),
+        T.StructField("covers", T.ArrayType(T.StringType())),
     ]
 )
 # A base is cut into buckets of about this size, so that a lookup reads few of them.
@@ -58,17 +62,20 @@ class OnlineTable:
         seq, known = self._manifest().agg(F.max("seq"), F.max(F.col("batch") == batch)).first()
         return seq or 0, bool(known)
 
-    def _publish(self, seq: int, kind: str, batch: str, path: str, buckets: int | None = None) -> None:
-        line = rows(self.spark, [(seq, kind, batch, path, buckets)], MANIFEST)
+    def _publish(
+        self, seq: int, kind: str, batch: str, path: str, buckets: int | None = None, covers: list[str] | None = None
+    ) -> None:
+        line = rows(self.spark, [(seq, kind, batch, path, buckets, covers)], MANIFEST)
         line.write.mode("append").json(f"{self.path}/manifest")
 
     def _parts(self) -> list:
-        """The newest base and the deltas after it."""
+        """The newest base and the deltas that no base covers: what is left since a compaction."""
         listed = self._manifest()
-        base = F.coalesce(listed.where("kind = 'base'").agg(F.max("seq")).scalar(), F.lit(0))
-        is_base = F.col("kind") == "base"
-        kept = (is_base & (F.col("seq") == base)) | (~is_base & (F.col("seq") > base))
-        return listed.where(kept).distinct().collect()
+        bases = listed.where("kind = 'base'")
+        newest = bases.orderBy(F.desc("seq")).limit(1)
+        covered = bases.select(F.explode("covers").alias("path"))
+        deltas = listed.where("kind = 'delta'").join(covered, "path", "left_anti")
+        return newest.unionByName(deltas.select(*newest.columns)).distinct().collect()
 
     # --- writes --------------------------------------------------------------------------
 
@@ -123,7 +130,8 @@ class OnlineTable:
         if known:
             return 0
         seq = newest + 1
-        path = f"{self.path}/delta/seq={seq}"
+        # Folder names must not depend on what characters a batch name has.
+        path = f"{self.path}/delta/seq={seq}/part={uuid.uuid5(uuid.NAMESPACE_URL, batch).hex}"
         delta.sortWithinPartitions("entity_id").write.mode("overwrite").parquet(path)
         n = self.spark.read.schema("n_updates long").parquet(path).agg(F.sum("n_updates")).first()[0] or 0
         self._publish(seq, "delta", batch, path)
@@ -137,9 +145,11 @@ class OnlineTable:
         parts = self._parts()
         if not any(p["kind"] == "delta" for p in parts):
             return
-        seq = max(p["seq"] for p in parts)
-        path = f"{self.path}/base/seq={seq}"
-        merged = self.current(now=now)
+        # Above all that it covers, so that the newest base is the one with the highest number.
+        seq = max(p["seq"] for p in parts) + 1
+        # A delta that was listed late may leave the number as it was.
+        path = f"{self.path}/base/seq={seq}/part={uuid.uuid4().hex}"
+        merged = self._merged(parts, now=now)
         buckets = buckets or max(1, min(MAX_BUCKETS, plan_bytes(merged) // BUCKET_BYTES))
         (
             merged.withColumn("bucket", _bucket(buckets))
@@ -149,7 +159,8 @@ class OnlineTable:
             .partitionBy("bucket")
             .parquet(path)
         )
-        self._publish(seq, "base", f"base-{seq}", path, buckets)
+        covers = [p["path"] for p in parts if p["kind"] == "delta"]
+        self._publish(seq, "base", f"base-{seq}", path, buckets, covers)
 
     # --- reads ---------------------------------------------------------------------------
 
@@ -163,27 +174,32 @@ class OnlineTable:
 
     def current(self, *, now: Any, only: DataFrame | None = None) -> DataFrame:
         """Unexpired rows at `now`; `only` restricts the entities before anything is merged."""
+        return self._merged(self._parts(), now=now, only=only)
+
+    def _merged(self, parts: list, *, now: Any, only: DataFrame | None = None) -> DataFrame:
         schema = self.spec.online_schema()
-        parts = self._parts()
         if not parts:
             return empty(self.spark, schema)
         wanted = only.select("entity_id").distinct() if only is not None else None
-        number, bucket = T.StructField("seq", T.LongType()), T.StructField("bucket", T.IntegerType())
+        number = [T.StructField("seq", T.LongType()), T.StructField("part", T.StringType())]
+        bucket = T.StructField("bucket", T.IntegerType())
         writes = None
         for kind in ("base", "delta"):
             chosen = [p for p in parts if p["kind"] == kind]
             if not chosen:
                 continue
-            extra = [number, bucket] if kind == "base" else [number]
+            extra = [*number, bucket] if kind == "base" else number
             reader = self.spark.read.schema(T.StructType([*schema.fields, *extra])).option("basePath", f"{self.path}/{kind}")
             part = reader.parquet(*[p["path"] for p in chosen])
             if kind == "base":
-                part = self._needed(part, wanted, chosen[0]["buckets"]).drop("bucket")
+                # A base comes before every delta, also before one that took a lower number.
+                part = self._needed(part, wanted, chosen[0]["buckets"]).drop("bucket").withColumn("seq", F.lit(0).cast("long"))
             writes = part if writes is None else writes.unionByName(part)
         if wanted is not None:
             writes = writes.join(wanted, "entity_id", "left_semi")
         if len(parts) == 1:
-            merged = writes.where("not deleted").drop("seq")
+            merged = writes.where("not deleted")
         else:
-            merged = merge_fields(since_reset(writes), self.features, order=("seq",), last=STATE)
+            order = ("seq", "part")
+            merged = merge_fields(since_reset(writes, order=order), self.features, order=order, last=STATE)
         return unexpired(merged.select(*schema.fieldNames()), as_timestamp(now))
