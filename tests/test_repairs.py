@@ -164,3 +164,18 @@ def test_a_short_list_does_not_shuffle_the_log(spark, tmp_path):
     with pytest.raises(ValueError, match="too many"):
         many = spark.range(3000).selectExpr("id AS spine_id", "'7' AS entity_id", "timestamp_seconds(1704067200 + id) AS label_timestamp")
         asof_join(many, log, ties=["ingest_seq"], features=["score"], strategy="marks")
+
+
+@pytest.mark.parametrize("name", ["__x", "batch", "seq", "deleted", "written_at", "problem", "message_id"])
+def test_reserved_names_are_refused(name):
+    with pytest.raises(ValueError, match=name):
+        FeatureViewSpec("v", (Feature(name, "int64"),))
+
+
+def test_untyped_lists_are_numbers(spark):
+    store = FeatureTables(spark, scratch_path(spark, "lists"))
+    store.register_schema(FeatureViewSpec("l", (Feature("xs", "list_int64"), Feature("n", "int64"))), now=T0)
+    store.write_features("l", spark.createDataFrame([("e", '{"xs": [1, 2], "n": 3}', T0)], ROWS), now=T0)
+    store.materialize("l", now=T0)
+    found, _ = store.get_online_features("l", spark.createDataFrame([("e",)], "entity_id string"), now=T0, typed=False)
+    assert found.select("xs", "n").first().asDict() == {"xs": [1.0, 2.0], "n": "3"}

@@ -23,8 +23,12 @@ DTYPES: dict[str, T.DataType] = {
 MODES = ("BACKWARD", "FORWARD", "FULL", "NONE")
 DEFAULT_TTL_SECONDS = 86400
 
-# Names the online table keeps for itself; features must not begin like this.
+# Features must not begin like this, nor have the name of a column that the tables add to them.
 HIDDEN_PREFIX = "__"
+TABLE_COLUMNS = frozenset(
+    "entity_id event_timestamp event_date created_at ingest_seq message_id feature_keys event_ts_ms written_at "
+    "expires_at deleted batch bucket seq part n_updates problem payload".split()
+)
 
 TAGS = T.MapType(T.StringType(), T.StringType())
 
@@ -163,6 +167,11 @@ class FeatureViewSpec:
     tags: dict[str, str] = field(default_factory=dict)
     description: str = ""
 
+    def __post_init__(self) -> None:
+        bad = sorted({f.name for f in self.features if f.name.startswith(HIDDEN_PREFIX) or f.name in TABLE_COLUMNS})
+        if bad:
+            raise ValueError(f"names that the tables of '{self.name}' use themselves: {', '.join(bad)}")
+
     @property
     def feature_names(self) -> list[str]:
         return list({f.name: None for f in self.features})

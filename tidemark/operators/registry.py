@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.compat import check_compatibility
 
+# Versions of one view that one task looks through.
+VERSIONS_AT_ONCE = 1024
 SPEC_COLUMNS = ("entity_column", "timestamp_column", "schema_version", "ttl_seconds", "tags", "description")
 
 
@@ -47,10 +49,8 @@ def latest_version_numbers(versions: DataFrame, view: str = "feature_view") -> D
 
 def with_is_latest(versions: DataFrame, view: str = "feature_view") -> DataFrame:
     """Mark the one newest version of each view; derived, so it cannot go stale."""
-    newest = latest_version_numbers(versions, view)
-    return versions.join(newest, view).withColumn("is_latest", F.col("version") == F.col("latest_version")).drop(
-        "latest_version"
-    )
+    newest = F.max("version").over(Window.partitionBy(view))
+    return versions.withColumn("is_latest", F.col("version") == newest)
 
 
 def latest_versions(versions: DataFrame, view: str = "feature_view") -> DataFrame:
@@ -87,10 +87,26 @@ def change_feed(versions: DataFrame, view: str = "feature_view") -> DataFrame:
 
 
 def successive_pairs(versions: DataFrame, view: str = "feature_view") -> DataFrame:
-    """Each version beside the one before it; joined on view and number, which is unique."""
-    old = versions.select(view, (F.col("version") + 1).alias("version"), F.col("spec").alias("old_spec"))
-    new = versions.select(view, "version", F.col("spec").alias("new_spec"), F.col("compatibility_mode").alias("mode"))
-    return new.join(old, [view, "version"])
+    """Each version beside the one before it, in one pass over the versions.
+
+    Versions of a view are numbered without gaps. They are looked through in stretches, so that a
+    view with most of the versions is spread over tasks; the last of a stretch goes to the next too.
+    """
+    stretch = F.floor(F.col("version") / VERSIONS_AT_ONCE)
+    is_last = F.pmod("version", F.lit(VERSIONS_AT_ONCE)) == VERSIONS_AT_ONCE - 1
+    dealt = versions.select(
+        view,
+        "version",
+        F.col("spec").alias("new_spec"),
+        F.col("compatibility_mode").alias("mode"),
+        F.explode(F.when(is_last, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))).alias("_stretch"),
+    )
+    before = F.lag("new_spec").over(Window.partitionBy(view, "_stretch").orderBy("version"))
+    return (
+        dealt.withColumn("old_spec", before)
+        .where((F.col("_stretch") == stretch) & F.col("old_spec").isNotNull())
+        .drop("_stretch")
+    )
 
 
 def decide(versions: DataFrame, proposals: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.codecs import decode_value, encode_value
+from tidemark.functions.codecs import decode_untyped, decode_value, encode_value
 from tidemark.functions.fields import epoch_ms, expires_at, parse_payload, ttl_or_default
-from tidemark.model import UPDATE_MESSAGE
+from tidemark.model import SCHEMA_CHANGE_MESSAGE, UPDATE_MESSAGE
 from tidemark.operators import registry
 from tidemark.operators.asof import asof_join
 from tidemark.operators.compat import audit, check_compatibility, spec_diff
@@ -39,8 +39,9 @@ from tidemark.plans.views import (
     view_events,
 )
 from tidemark.session import pinned, scratch_path
-from tidemark.sources.messages import keyed, spine_from_arrays, update_messages
-from tidemark.streaming.propagate import propagate
+from tidemark.sources.feature_log import FeatureLog
+from tidemark.sources.messages import change_messages, keyed, read_feature_rows, spine_from_arrays, update_messages
+from tidemark.streaming.propagate import apply_batch, propagate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,6 +137,24 @@ def pit_hot_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pit_one_hot_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events belong to one entity that has just more rows than one task is to sort."""
+    activity = user_activity(spark, sf_dir).withColumn("all", F.lit("all"))
+    spine = of_type(activity, "error").select(F.col("event_id").alias("spine_id"), "all", F.col("ts").alias("label_timestamp"))
+    log = of_type(activity, "click", "purchase").select("all", "ts", "event_id", "value", "k")
+    rows = spine.count() + log.count()
+    return asof_join(
+        spine, log, by="all", log_ts="ts", ties=["event_id"], features=["value", "k"], strategy="window", hot_rows=rows - 1
+    )
+
+
+def pit_short_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for a few entities out of the whole log; the log is not shuffled for it."""
+    pairs = [(i, u, dt.datetime(2024, 1, 5 + 5 * i, 12)) for i in range(5) for u in (1, 2, 3)]
+    spine = spark.createDataFrame(pairs, "spine_id long, user_id long, label_timestamp timestamp_ntz")
+    return activity_join(spine, user_activity(spark, sf_dir), ACTIVITY)
+
+
 def pit_monthly_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few label instants against the whole order log, which stays where it is."""
     orders = table(spark, sf_dir, "orders")
@@ -435,6 +454,67 @@ def update_message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(*parsed.columns[:-1], "payload.*")
 
 
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as files of JSON lines and read back as feature rows."""
+    events = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "json-rows")
+    events.select(
+        F.col("event_id").cast("string").alias("entity_id"),
+        F.struct("user_id", "event_type").alias("features"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("event_timestamp"),
+    ).write.json(path)
+    return read_feature_rows(spark, path).select(
+        F.col("entity_id").cast("long").alias("event_id"),
+        F.get_json_object("features", "$.user_id").cast("long").alias("user_id"),
+        F.get_json_object("features", "$.event_type").alias("event_type"),
+        F.col("event_timestamp").cast("timestamp_ntz").alias("ts"),
+    )
+
+
+def typed_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates some of which carry values that do not fit their types."""
+    activity = user_activity(spark, sf_dir)
+    payload = (
+        F.when(F.col("event_type") == "click", F.to_json(F.struct((F.col("k") + 0.5).alias("k"))))
+        .when(F.col("event_type") == "view", F.to_json(F.struct(F.col("event_type").alias("value"))))
+        .otherwise(F.to_json(F.struct("k", "value")))
+    )
+    raw = activity.select(
+        "event_id", F.col("user_id").cast("string").alias("entity_id"), payload.alias("features")
+    )
+    parsed = parse_rows(raw, USER_ACTIVITY)
+    good = F.col("problem").isNull()
+    return parsed.select("event_id", "problem", F.when(good, F.col("k")).alias("k"), F.when(good, F.col("value")).alias("value"))
+
+
+def partial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks are logged whole, purchases without `k`: the newest click's `k` stays current."""
+    activity = user_activity(spark, sf_dir)
+    log = FeatureLog(spark, scratch_path(spark, "partial"))
+    rows = activity.select(
+        F.col("user_id").cast("string").alias("entity_id"),
+        F.col("ts").cast("timestamp").alias("event_timestamp"),
+        F.col("event_id").alias("ingest_seq"),
+        "event_type",
+        "value",
+        "k",
+    )
+    log.append(USER_ACTIVITY, of_type(rows, "click"), now=NOW, batch="clicks")
+    log.append(USER_ACTIVITY, of_type(rows, "purchase").drop("k"), now=NOW, batch="purchases")
+    merged = merge_fields(log.read(USER_ACTIVITY), ACTIVITY, order=["event_timestamp", "ingest_seq"])
+    return merged.select(F.col("entity_id").cast("long").alias("user_id"), *ACTIVITY)
+
+
+def untyped_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored text read without types: lists come back as numbers."""
+    orders = table(spark, sf_dir, "orders")
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("["), F.col("o_custkey"), F.lit(", "), F.col("o_orderkey"), F.lit("]")))
+    raw, numbers = decode_untyped(F.coalesce(text, F.col("o_orderpriority")))
+    return orders.select(
+        "o_orderkey", raw.alias("raw"), F.get(numbers, F.lit(0)).alias("first"), F.get(numbers, F.lit(1)).alias("second")
+    )
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 
@@ -446,11 +526,18 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> FeatureTables:
     schema = table(spark, sf_dir, "events").schema
     # As a pattern the path is right for a file and for a folder of files.
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events[.]parquet")
+    query = propagate(store, event_updates(events), f"{store.root}/checkpoint", clock=lambda: NOW)
+    query.awaitTermination()
+    return store
+
+
+def event_updates(events: DataFrame) -> DataFrame:
+    """Events as update messages, delivered out of order."""
     raw = raw_payload(
         events.withColumn("k", payload_k()).withColumn("ingest_seq", (F.col("event_id") + F.col("k") * 97) * 128 + F.col("k"))
     )
     view = F.when(F.col("event_type") == "signup", "no_such_view").otherwise("user_activity")
-    updates = raw.select(
+    return raw.select(
         F.col("event_id").cast("string").alias("message_id"),
         view.alias("feature_view"),
         "entity_id",
@@ -460,9 +547,22 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> FeatureTables:
         F.lit(False).alias("logged"),
         "ingest_seq",
     )
-    query = propagate(store, updates, f"{store.root}/checkpoint", clock=lambda: NOW)
-    query.awaitTermination()
-    return store
+
+
+def stream_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The updates in two batches, the second one applied again: log and current values as if
+    each had come once."""
+    store = FeatureTables(spark, scratch_path(spark, "batches"))
+    store.register_schema(USER_ACTIVITY, now=NOW)
+    updates = event_updates(table(spark, sf_dir, "events"))
+    early = F.col("ingest_seq") < updates.agg((F.min("ingest_seq") + F.max("ingest_seq")) / 2).scalar()
+    for name, batch in (("b-0", updates.where(early)), ("b-1", updates.where(~early)), ("b-1", updates.where(~early))):
+        apply_batch(store, batch, name, now=NOW)
+    logged = store.log.read(USER_ACTIVITY).groupBy("entity_id").agg(F.count("*").alias("n_logged"))
+    current = store.online(USER_ACTIVITY.name).current(now=NOW)
+    return current.join(logged, "entity_id").select(
+        F.col("entity_id").cast("long").alias("user_id"), *ACTIVITY, "n_logged"
+    )
 
 
 def stream_current_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,12 +617,12 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compat_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = registry.successive_pairs(pinned_versions(spark, sf_dir))
+    pairs = registry.successive_pairs(schema_versions(spark, sf_dir))
     return audit(pairs, ["feature_view", "version", "mode"])
 
 
 def compat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = registry.successive_pairs(pinned_versions(spark, sf_dir))
+    pairs = registry.successive_pairs(schema_versions(spark, sf_dir))
     return check_compatibility(pairs).select(
         "feature_view",
         "version",
@@ -534,7 +634,7 @@ def compat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = registry.successive_pairs(pinned_versions(spark, sf_dir))
+    pairs = registry.successive_pairs(schema_versions(spark, sf_dir))
     return spec_diff(pairs, ["feature_view", "version"])
 
 
@@ -569,6 +669,31 @@ def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def change_messages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed as keyed messages, parsed again as a consumer does."""
+    sent = change_messages(registry.change_feed(schema_versions(spark, sf_dir)), now=NOW)
+    received = sent.select("key", F.from_json("value", SCHEMA_CHANGE_MESSAGE).alias("m"))
+    return received.select("key", "m.feature_view", "m.old_version", "m.new_version", "m.change_type")
+
+
+def versions_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions of the view of one customer, newest first, with their place in the list."""
+    found = registry.list_versions(schema_versions(spark, sf_dir), "view_1")
+    return found.select(
+        "version", "compatibility_mode", "is_latest", (F.monotonically_increasing_id() + 1).alias("place")
+    )
+
+
+def schema_of_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second version of one view, and the newest of another."""
+    versions = schema_versions(spark, sf_dir)
+    second = registry.get_schema(versions, "view_2", 2)
+    newest = registry.get_schema(versions, "view_4")
+    return second.unionByName(newest).select(
+        "feature_view", "version", "is_latest", F.size("spec.features").cast("long").alias("n_features")
+    )
+
+
 def view_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.catalog(view_events(spark, sf_dir)).drop("tags")
 
@@ -604,6 +729,8 @@ QUERIES: dict[str, Query] = {
     "pit_hot_entities": pit_hot_entities,
     "pit_monthly_marks": pit_monthly_marks,
     "pit_array_spine": pit_array_spine,
+    "pit_one_hot_entity": pit_one_hot_entity,
+    "pit_short_list": pit_short_list,
     "latest_per_entity": latest_activity_per_user,
     "latest_with_ties": latest_order_with_ties,
     "latest_for_entities": latest_for_entities_query,
@@ -634,6 +761,14 @@ QUERIES: dict[str, Query] = {
     "stream_current_values": stream_current_values,
     "stream_log": stream_log,
     "stream_quarantine": stream_quarantine,
+    "stream_two_batches": stream_two_batches,
+    "json_rows": json_rows,
+    "typed_refusals": typed_refusals,
+    "partial_rows": partial_rows,
+    "untyped_read": untyped_read,
+    "change_messages": change_messages_query,
+    "versions_listed": versions_listed,
+    "schema_of_version": schema_of_version,
     "versions_latest": versions_latest,
     "latest_version_numbers": latest_version_numbers,
     "change_feed": change_feed,

@@ -375,6 +375,65 @@ SELECT event_id, user_id, ts, CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 2 E
        CASE WHEN event_type = 'purchase' THEN value END AS value, event_type,
        CASE WHEN event_type = 'click' THEN k END AS k
 FROM applied""",
+    "stream_two_batches": f"""
+WITH {ACTIVITY}, {STREAMED}
+SELECT user_id,
+       arg_max(value, ingest_seq) FILTER (WHERE event_type = 'purchase') AS value,
+       arg_max(event_type, ingest_seq) AS event_type,
+       arg_max(k, ingest_seq) FILTER (WHERE event_type = 'click') AS k,
+       count(*) AS n_logged
+FROM applied GROUP BY user_id""",
+    "json_rows": "SELECT event_id, user_id, event_type, ts FROM events",
+    "typed_refusals": f"""
+WITH {ACTIVITY}
+SELECT event_id,
+       CASE event_type WHEN 'click' THEN 'wrong type: k' WHEN 'view' THEN 'wrong type: value' END AS problem,
+       CASE WHEN event_type NOT IN ('click', 'view') THEN k END AS k,
+       CASE WHEN event_type NOT IN ('click', 'view') THEN value END AS value
+FROM activity""",
+    "partial_rows": f"""
+WITH {ACTIVITY}
+SELECT user_id,
+       arg_max(value, (ts, event_id)) AS value,
+       arg_max(event_type, (ts, event_id)) AS event_type,
+       arg_max(k, (ts, event_id)) FILTER (WHERE event_type = 'click') AS k
+FROM activity WHERE event_type IN ('click', 'purchase') GROUP BY user_id""",
+    "untyped_read": """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 2 = 0 THEN '[' || o_custkey || ', ' || o_orderkey || ']' ELSE o_orderpriority END AS raw,
+       CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::DOUBLE END AS first,
+       CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::DOUBLE END AS second
+FROM orders""",
+    "change_messages": f"""
+WITH {SPECS}
+SELECT feature_view AS key, feature_view, lag(version) OVER (PARTITION BY feature_view ORDER BY version) AS old_version,
+       version AS new_version, CASE WHEN version = 1 THEN 'create' ELSE 'update' END AS change_type
+FROM specs""",
+    "versions_listed": f"""
+WITH {SPECS}
+SELECT version, mode AS compatibility_mode, version = max(version) OVER () AS is_latest,
+       row_number() OVER (ORDER BY version DESC) AS place
+FROM specs WHERE feature_view = 'view_1'""",
+    "schema_of_version": f"""
+WITH {SPECS}
+SELECT s.feature_view, s.version, s.version = w.latest_version AS is_latest, f.n_features
+FROM specs s JOIN newest w ON w.feature_view = s.feature_view
+JOIN (SELECT o_orderkey, count(*) AS n_features FROM feats GROUP BY o_orderkey) f ON f.o_orderkey = s.o_orderkey
+WHERE s.feature_view = 'view_2' AND s.version = 2 OR s.feature_view = 'view_4' AND s.version = w.latest_version""",
+    "pit_one_hot_entity": f"""
+WITH {ACTIVITY}
+SELECT s.event_id AS spine_id, 'all' AS "all", s.ts AS label_timestamp, f.value, f.k, f.ts AS feature_timestamp
+FROM (SELECT * FROM activity WHERE event_type = 'error') s
+ASOF LEFT JOIN (
+  SELECT * FROM activity WHERE event_type IN ('click', 'purchase')
+  QUALIFY row_number() OVER (PARTITION BY ts ORDER BY event_id DESC) = 1
+) f ON s.ts >= f.ts""",
+    "pit_short_list": _activity_pit(
+        "SELECT i AS spine_id, u AS user_id, TIMESTAMP '2024-01-05 12:00:00' + to_days(CAST(5 * i AS INTEGER)) AS label_timestamp "
+        "FROM range(5) a(i), range(1, 4) b(u)",
+        "SELECT * FROM activity",
+        "value, event_type, k",
+    ),
     "stream_quarantine": """
 SELECT event_id,
        CASE WHEN event_type = 'signup' THEN 'no_such_view' ELSE 'user_activity' END AS feature_view,

@@ -11,10 +11,11 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.codecs import decode_untyped
 from tidemark.functions.fields import as_timestamp, stored_text
 from tidemark.model import ARRIVAL, SCHEMA_VERSIONS, SPEC_TYPE, SPINE, VIEW_EVENTS, FeatureViewSpec
 from tidemark.operators import registry
@@ -301,7 +302,8 @@ class FeatureTables:
     ) -> tuple[DataFrame, DataFrame]:
         """Current values of the requested ids, and the ids that have none.
 
-        With `typed=False` the values come as the text a hash store would hold.
+        With `typed=False` the values come as the text a hash store would hold, and lists as the
+        numbers that this text spells.
         """
         table = self.online(view)
         current = table.current(now=now or utc_now(), only=ids)
@@ -309,7 +311,10 @@ class FeatureTables:
         if not typed:
             current = current.select(
                 "entity_id",
-                *[F.when(F.array_contains("feature_keys", n), c).alias(n) for n, c in zip(features, stored_text(table.spec))],
+                *[
+                    F.when(F.array_contains("feature_keys", f.name), _untyped(c, f.dataType)).alias(f.name)
+                    for f, c in zip(table.spec.struct().fields, stored_text(table.spec))
+                ],
             )
         found = online_lookup(ids, current, names, features=features).where("found").drop("found")
         return found, missing_entities(ids, current)
@@ -349,6 +354,11 @@ class FeatureTables:
         return self.materializer.runs(view, job_id)
 
 
+def _untyped(text: Column, dtype: T.DataType) -> Column:
+    plain, numbers = decode_untyped(text)
+    return numbers if isinstance(dtype, T.ArrayType) else plain
+
+
 def _with_default(name: str, spec: FeatureViewSpec, default: Any) -> Any:
     value = F.col("features")[name]
     if default is not None:
