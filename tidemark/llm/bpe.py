@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Words whose ids a worker remembers, in each of two generations: when the younger is full, the
 #: older one goes and the younger takes its place.
-REMEMBERED_WORDS = 200_000
-REMEMBERED_PAIRS = 300_000
+REMEMBERED_WORDS = 80_000
+REMEMBERED_PAIRS = 150_000
 #: Texts that show whether a model normalises, prefixes and falls back as this module does.
 PROBES = ("", " ", "a", "  a  b ", "a\nb\t", "é́ ﬁ Ａ", "日本 \U0001f600", "<s></s>", f"x{MARK} y")
 

@@ -40,7 +40,7 @@ TEXTS_AT_ONCE = 256
 PER_CLASS = 1500
 MAX_CHARS = 8_000
 #: Words without a margin that a worker remembers, in each of two generations.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
 
 #: Characters written in place of letters.
 LOOKALIKES = str.maketrans("01345@$", "oieasas")
