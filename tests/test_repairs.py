@@ -179,3 +179,24 @@ def test_untyped_lists_are_numbers(spark):
     store.materialize("l", now=T0)
     found, _ = store.get_online_features("l", spark.createDataFrame([("e",)], "entity_id string"), now=T0, typed=False)
     assert found.select("xs", "n").first().asDict() == {"xs": [1.0, 2.0], "n": "3"}
+
+
+def test_current_values_after_a_type_change(spark):
+    root = scratch_path(spark, "retyped")
+    old = FeatureViewSpec("v", (Feature("a", "int64"), Feature("b", "list_int64")), ttl_seconds=600)
+    new = FeatureViewSpec("v", (Feature("a", "string"), Feature("b", "string"), Feature("c", "bool")), ttl_seconds=600)
+    rows = spark.createDataFrame([("x", 1, [1, 2], 1)], "entity_id string, a long, b array<long>, ingest_seq long").selectExpr(
+        "*", "array('a', 'b') AS feature_keys", "timestamp'2024-01-01' AS event_timestamp"
+    )
+    OnlineTable(spark, root, old).upsert(rows, now=T0, batch="one")
+    table = OnlineTable(spark, root, new)
+    assert current(table) == {"x": ("1", "[1,2]", None)}
+    later = spark.createDataFrame([("x", "z", 2)], "entity_id string, a string, ingest_seq long").selectExpr(
+        "*", "CAST(NULL AS string) AS b", "true AS c", "array('a', 'c') AS feature_keys", "timestamp'2024-01-01' AS event_timestamp"
+    )
+    table.upsert(later, now=T0, batch="two")
+    assert current(table) == {"x": ("z", "[1,2]", True)}
+    table.compact(now=T0)
+    assert current(table) == {"x": ("z", "[1,2]", True)}
+    back = {r["entity_id"]: (r["a"], r["b"]) for r in OnlineTable(spark, root, old).current(now=T0).collect()}
+    assert back == {"x": (None, [1, 2])}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.codecs import decode_untyped, decode_value, encode_value
 from tidemark.functions.fields import epoch_ms, expires_at, parse_payload, ttl_or_default
-from tidemark.model import SCHEMA_CHANGE_MESSAGE, UPDATE_MESSAGE
+from tidemark.model import SCHEMA_CHANGE_MESSAGE, UPDATE_MESSAGE, Feature, FeatureViewSpec
 from tidemark.operators import registry
 from tidemark.operators.asof import asof_join
 from tidemark.operators.compat import audit, check_compatibility, spec_diff
@@ -505,6 +505,23 @@ def partial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.col("entity_id").cast("long").alias("user_id"), *ACTIVITY)
 
 
+def retyped_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks were logged while `k` was a number; now it is text, and all of the log is read so."""
+    rows = user_activity(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("entity_id"),
+        F.col("ts").cast("timestamp").alias("event_timestamp"),
+        F.col("event_id").alias("ingest_seq"),
+        "event_type",
+        "k",
+    )
+    log = FeatureLog(spark, scratch_path(spark, "retyped"))
+    old = FeatureViewSpec("v", (Feature("event_type", "string"), Feature("k", "int64")))
+    new = FeatureViewSpec("v", (Feature("event_type", "string"), Feature("k", "string"), Feature("later", "float64")))
+    log.append(old, of_type(rows, "click"), now=NOW)
+    log.append(new, of_type(rows, "view").withColumn("k", F.concat(F.lit("k"), F.col("k"))), now=NOW)
+    return log.read(new).select(F.col("ingest_seq").alias("event_id"), "event_type", "k", "later")
+
+
 def untyped_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored text read without types: lists come back as numbers."""
     orders = table(spark, sf_dir, "orders")
@@ -766,6 +783,7 @@ QUERIES: dict[str, Query] = {
     "typed_refusals": typed_refusals,
     "partial_rows": partial_rows,
     "untyped_read": untyped_read,
+    "retyped_history": retyped_history,
     "change_messages": change_messages_query,
     "versions_listed": versions_listed,
     "schema_of_version": schema_of_version,

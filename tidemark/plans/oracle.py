@@ -404,6 +404,10 @@ SELECT o_orderkey,
        CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::DOUBLE END AS first,
        CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::DOUBLE END AS second
 FROM orders""",
+    "retyped_history": f"""
+WITH {ACTIVITY}
+SELECT event_id, event_type, CASE event_type WHEN 'view' THEN 'k' ELSE '' END || k AS k, NULL::DOUBLE AS later
+FROM activity WHERE event_type IN ('click', 'view')""",
     "change_messages": f"""
 WITH {SPECS}
 SELECT feature_view AS key, feature_view, lag(version) OVER (PARTITION BY feature_view ORDER BY version) AS old_version,

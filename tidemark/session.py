@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -46,8 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    made = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(made)
+    fs.deleteOnExit(made)
+    return f"{folder}/data"
 
 
 def pinned(df: DataFrame) -> DataFrame:

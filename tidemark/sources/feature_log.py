@@ -1,8 +1,9 @@
 """Append-only feature log: one Parquet table per view with typed columns.
 
-Layout: `<root>/<view>/batch=<id>/event_date=<day>/`. A batch that is written again
-replaces itself, which makes replays harmless; days let a time bound skip files, and rows
-are sorted by entity and time inside each file.
+Layout: `<root>/<view>/types=<key>/batch=<id>/event_date=<day>/`. A batch that is written
+again replaces itself, which makes replays harmless; days let a time bound skip files, and
+rows are sorted by entity and time inside each file. Files of one schema lie together: those
+written before a feature changed its type are read with their own types and converted.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.fields import as_timestamp
 from tidemark.model import FeatureViewSpec
-from tidemark.sources.tables import empty, read_or_empty
+from tidemark.sources.tables import empty, read_or_empty, recast, subfolders, types_key
 
 PARTITIONS = [T.StructField("batch", T.StringType()), T.StructField("event_date", T.DateType())]
 
@@ -29,6 +30,9 @@ class FeatureLog:
     def path(self, view: str) -> str:
         return f"{self.root}/{view}"
 
+    def _folder(self, spec: FeatureViewSpec) -> str:
+        return f"{self.path(spec.name)}/types={types_key(spec.log_schema())}"
+
     def append(self, spec: FeatureViewSpec, rows: DataFrame, *, now: Any, batch: str | None = None) -> int:
         """Add typed rows of a view and return how many were written.
 
@@ -52,7 +56,7 @@ class FeatureLog:
                 value = fill.get(field.name, F.lit(None))
             columns.append(value.cast(field.dataType).alias(field.name))
         filled = rows.select(*columns).withColumn("event_timestamp", F.coalesce("event_timestamp", as_timestamp(now)))
-        target = f"{self.path(spec.name)}/batch={batch}"
+        target = f"{self._folder(spec)}/batch={batch}"
         (
             filled.withColumn("event_date", F.to_date("event_timestamp"))
             # Splits days that are large and joins days that are small.
@@ -68,10 +72,16 @@ class FeatureLog:
     def read(self, spec: FeatureViewSpec, *, start: Any = None, end: Any = None, entity: str | None = None) -> DataFrame:
         """Rows of a view, with a time range that also skips whole days.
 
-        Features added to the spec after a file was written read as null.
+        Features added to the spec after a file was written read as null, and so do values that
+        have no form in a type the spec has changed to.
         """
         schema = T.StructType([*spec.log_schema().fields, *PARTITIONS])
-        log = read_or_empty(self.spark, self.path(spec.name), schema)
+        log = read_or_empty(self.spark, self._folder(spec), schema)
+        current = f"types={types_key(spec.log_schema())}"
+        for name in subfolders(self.spark, self.path(spec.name), "types="):
+            if name != current:
+                older = self.spark.read.parquet(f"{self.path(spec.name)}/{name}")
+                log = log.unionByName(recast(older, schema))
         if start is not None:
             log = log.where((F.col("event_timestamp") >= as_timestamp(start)) & (F.col("event_date") >= F.to_date(as_timestamp(start))))
         if end is not None:
@@ -81,10 +91,12 @@ class FeatureLog:
         return log.drop("batch", "event_date")
 
     def read_batch(self, spec: FeatureViewSpec, batch: str) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.path(spec.name)}/batch={batch}", spec.log_schema())
+        return read_or_empty(self.spark, f"{self._folder(spec)}/batch={batch}", spec.log_schema())
 
     def delete(self, spec: FeatureViewSpec) -> int:
         """Remove all rows of a view and return how many there were."""
         n = self.read(spec).count()
-        empty(self.spark, spec.log_schema()).write.mode("overwrite").parquet(self.path(spec.name))
+        for name in subfolders(self.spark, self.path(spec.name), "types="):
+            nothing = empty(self.spark, spec.log_schema())
+            nothing.write.mode("overwrite").parquet(f"{self.path(spec.name)}/{name}")
         return n

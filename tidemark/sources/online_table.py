@@ -23,7 +23,7 @@ from tidemark.model import FeatureViewSpec
 from tidemark.operators.lookup import unexpired
 from tidemark.operators.merge import merge_fields, since_reset
 from tidemark.session import plan_bytes
-from tidemark.sources.tables import empty, read_or_empty, rows
+from tidemark.sources.tables import empty, read_or_empty, recast, rows, types_key
 
 MANIFEST = T.StructType(
     [
@@ -33,6 +33,7 @@ MANIFEST = T.StructType(
         T.StructField("path", T.StringType()),
         T.StructField("buckets", T.IntegerType()),
         T.StructField("covers", T.ArrayType(T.StringType())),
+        T.StructField("types", T.StringType()),
     ]
 )
 # A base is cut into buckets of about this size, so that a lookup reads few of them.
@@ -51,6 +52,8 @@ class OnlineTable:
         self.spec = spec
         self.path = f"{root.rstrip('/')}/{spec.name}"
         self.features = spec.feature_names
+        # Batches that were written under other types are read with their own and converted.
+        self._types = types_key(spec.online_schema())
 
     # --- manifest ------------------------------------------------------------------------
 
@@ -65,7 +68,7 @@ class OnlineTable:
     def _publish(
         self, seq: int, kind: str, batch: str, path: str, buckets: int | None = None, covers: list[str] | None = None
     ) -> None:
-        line = rows(self.spark, [(seq, kind, batch, path, buckets, covers)], MANIFEST)
+        line = rows(self.spark, [(seq, kind, batch, path, buckets, covers, self._types)], MANIFEST)
         line.write.mode("append").json(f"{self.path}/manifest")
 
     def _parts(self) -> list:
@@ -189,8 +192,14 @@ class OnlineTable:
             if not chosen:
                 continue
             extra = [*number, bucket] if kind == "base" else number
-            reader = self.spark.read.schema(T.StructType([*schema.fields, *extra])).option("basePath", f"{self.path}/{kind}")
-            part = reader.parquet(*[p["path"] for p in chosen])
+            full = T.StructType([*schema.fields, *extra])
+            part = None
+            for types in sorted({p["types"] or "" for p in chosen}):
+                reader = self.spark.read.option("basePath", f"{self.path}/{kind}")
+                paths = [p["path"] for p in chosen if (p["types"] or "") == types]
+                same = types == self._types
+                read = reader.schema(full).parquet(*paths) if same else recast(reader.parquet(*paths), full)
+                part = read if part is None else part.unionByName(read)
             if kind == "base":
                 # A base comes before every delta, also before one that took a lower number.
                 part = self._needed(part, wanted, chosen[0]["buckets"]).drop("bucket").withColumn("seq", F.lit(0).cast("long"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -26,6 +27,45 @@ def read_or_empty(
         return empty(spark, schema)
 
 
+def types_key(schema: T.StructType) -> str:
+    """A short name of column names and types, for folders that hold files of one kind."""
+    listed = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields)
+    return uuid.uuid5(uuid.NAMESPACE_URL, listed).hex[:12]
+
+
+def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders in `path` that begin with `prefix`."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+    return sorted(n for n in names if n.startswith(prefix))
+
+
+def recast(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """`df` under another schema: absent columns are null, and so are values that have no form in it."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(
+        *[
+            (
+                F.lit(None).cast(f.dataType)
+                if f.name not in have
+                else F.col(f.name)
+                if have[f.name] == f.dataType
+                else F.to_json(F.col(f.name))
+                if isinstance(f.dataType, T.StringType) and isinstance(have[f.name], T.ArrayType)
+                else F.from_json(F.col(f.name), f.dataType)
+                if isinstance(f.dataType, T.ArrayType) and isinstance(have[f.name], T.StringType)
+                else F.lit(None).cast(f.dataType)
+                if isinstance(f.dataType, T.ArrayType) != isinstance(have[f.name], T.ArrayType)
+                else F.col(f.name).try_cast(f.dataType)
+            ).alias(f.name)
+            for f in schema.fields
+        ]
+    )
+
+
 def add_records(records: DataFrame, path: str) -> None:
     """Append to a small table of records. Every append has a folder of its own, because
     two jobs that append to one folder remove each other's unfinished files."""
