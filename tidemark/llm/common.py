@@ -24,8 +24,6 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    on_disk = spark._jvm.org.apache.hadoop.fs.Path(path)
-    on_disk.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(on_disk)
     return spark.read.schema(df.schema).parquet(path)
 
 
