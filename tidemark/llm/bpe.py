@@ -15,6 +15,7 @@ from functools import lru_cache
 from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -253,7 +254,8 @@ def encode_column(docs: DataFrame, model_file: str, text: str = "text", out: str
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = codec(model_file)
         for texts in batches:
-            yield texts.map(lambda t: pieces.encode(t or ""))
+            # Four bytes an id; a list of numbers takes twice that before it is sent.
+            yield pd.Series([np.array(pieces.encode(t or ""), dtype=np.int32) for t in texts], dtype="object")
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -265,7 +267,7 @@ def decode_column(docs: DataFrame, model_file: str, ids: str = "ids", out: str =
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = codec(model_file)
         for rows in batches:
-            yield rows.map(lambda row: "" if row is None else pieces.decode(list(row)))
+            yield rows.map(lambda row: "" if row is None else pieces.decode(row.tolist()))
 
     return docs.withColumn(out, text(F.col(ids)))
 
