@@ -59,6 +59,22 @@ def labelled_sample(
     return rows
 
 
+def text_sample(df: DataFrame, column: str, n: int, max_chars: int) -> list[str]:
+    """Up to `n` different texts of `column`, for training on the driver.
+
+    They are the first in the order of their hashes, so the sample is the same in every run. The
+    hashes are found first; texts of at most n * max_chars characters are sent, from whatever input.
+    """
+    hashed = df.where(F.length(column) <= max_chars).select(
+        F.col(column).alias("text"), F.xxhash64(column).alias("hash")
+    )
+    last = hashed.select("hash").distinct().orderBy("hash").limit(n).agg(F.max("hash")).first()[0]
+    if last is None:
+        return []
+    chosen = hashed.where(F.col("hash") <= last).groupBy("hash").agg(F.min("text").alias("text"))
+    return [r["text"] for r in chosen.orderBy("hash").collect()]
+
+
 def fit_logistic(
     x: np.ndarray, y: np.ndarray, weight_0: float = 1.0, ridge: float = 1e-3, steps: int = 50
 ) -> np.ndarray:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.boosting import BoostedTrees, fit_boosted
+from tidemark.llm.common import text_sample
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -415,13 +416,7 @@ def train(pages: Sequence[str]) -> PageModel:
 
 def trained_model(pages: DataFrame) -> PageModel:
     """A model from a bounded sample of pages, the same in every run: first in hash order."""
-    rows = (
-        pages.where(F.length("html") <= SAMPLE_CHARS)
-        .select("html")
-        .orderBy(F.xxhash64("html"), "html")
-        .limit(SAMPLE_PAGES)
-    )
-    return train([r["html"] for r in rows.collect()])
+    return train(text_sample(pages, "html", SAMPLE_PAGES, SAMPLE_CHARS))
 
 
 def extract_text(pages: DataFrame, model: PageModel | None = None, at_once: int = 64) -> DataFrame:
