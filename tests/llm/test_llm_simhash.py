@@ -49,12 +49,8 @@ def expected(rows):
         edited = text[: len(text) - half] + after[:half]
         f, g, n = by_hand(text), by_hand(edited), by_hand(after)
         like = lambda a, b: 1 - bin(a ^ b).count("1") / 64
-        near = None
-        if key is not None and key % S.QUERY_STEP == 0:
-            every = {by_hand(t) for _, t in rows}
-            near = sum(0 < bin(f ^ e).count("1") <= S.RADIUS for e in every)
-        out.append((str(key), len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{f:016x}", f"{g:016x}", like(f, g), like(f, n), near))
-    return sorted(out, key=repr)
+        out.append((str(key), len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{f:016x}", f"{g:016x}", like(f, g), like(f, n)))
+    return sorted(out)
 
 
 @pytest.mark.parametrize("step", [1, 1000, 10**15])
@@ -62,14 +58,10 @@ def test_documents(spark, step, monkeypatch):
     monkeypatch.setattr(S, "SORTED_AT_ONCE", 10)
     monkeypatch.setattr(S.next_keys, "__defaults__", (10,))
     rows = [(i * step - 7, t) for i, t in enumerate(texts(150, seed=step))]
-    # Close to the fingerprint of a query, or equal to it.
-    query = 50 * 10**6
-    long = " ".join(texts(40, seed=3))
-    rows += [(query, long), (query + 1, long + " a"), (query + 2, long + " b c"), (query + 3, long)]
     rows += [(rows[3][0], "twice"), (rows[3][0], "twice"), (None, "no id"), (None, None), (rows[9][0], "")]
     df = spark.createDataFrame([(k, t, "clash") for k, t in rows], DOCS).repartition(4)
     got = S.fingerprint_documents(df).collect()
-    assert sorted(((str(r[0]), *r[1:]) for r in got), key=repr) == expected(rows)
+    assert sorted((str(r[0]), *r[1:]) for r in got) == expected(rows)
 
 
 def test_one_and_no_document(spark):

@@ -26,9 +26,6 @@ LANE_MASK = sum(1 << (i * LANE_BITS) for i in range(LANES))
 ID_BITS = 6
 SORTED_AT_ONCE = 16_384
 NO_ID = -(1 << 62)
-#: Documents that are looked up among all others, and how many bits may differ.
-QUERY_STEP = 50
-RADIUS = 3
 
 
 def _runs(text: Column) -> Column:
@@ -186,8 +183,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     only the first text of a range once more.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hexadecimal),
-    near_edited, near_next, n_near: for documents whose doc_id is divisible by QUERY_STEP the number
-    of different fingerprints of all documents within RADIUS bits of theirs, else null.
+    near_edited, near_next.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn(
         "_range", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), ID_BITS), F.lit(NO_ID))
@@ -217,7 +213,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         ),
         "fingerprints",
     )
-    done = _with_next(facts, [F.col("_at")], "_f", "_n", ranges).select(
+    done = _with_next(facts, [F.col("_at")], "_f", "_n", ranges)
+    return done.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -225,13 +222,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         shown(F.col("_g")).alias("edited_fingerprint"),
         likeness(F.col("_f"), F.col("_g")).alias("near_edited"),
         likeness(F.col("_f"), F.col("_n")).alias("near_next"),
-        F.col("_f"),
     )
-    # The search: some documents as queries, all fingerprints as the corpus.
-    asked = F.coalesce(F.col("doc_id") % QUERY_STEP == 0, F.lit(False))
-    corpus = facts.select("doc_id", F.col("_f").alias("fingerprint"))
-    pairs = within_radius(corpus.where(asked), corpus, RADIUS)
-    counts = pairs.groupBy(F.col("fingerprint").alias("_f")).agg(F.count(F.lit(1)).alias("_near"))
-    searched = done.where(asked).join(counts, "_f", "left").withColumn("n_near", F.coalesce("_near", F.lit(0).cast("long")))
-    others = done.where(~asked).withColumn("n_near", F.lit(None).cast("long"))
-    return searched.drop("_near", "_f").unionByName(others.drop("_f"))
