@@ -98,3 +98,32 @@ def test_odd_rows_and_empty_tables(spark):
     assert K.sampled_documents(df.where("false")).count() == 0
     blank = K.sampled_documents(df.where("doc_id < 3")).collect()
     assert sorted(r["doc_id"] for r in blank) == [1, 2] and all(r["n_tokens"] == 0 for r in blank)
+
+
+def test_languages_without_a_share_keep_their_own(spark):
+    rng = random.Random(3)
+    langs = [None, "xx", "en", "en", "de", "fr", "es"]
+    rows = [(i, "w " * rng.randint(1, 50), rng.choice(["s0", "s1"]), rng.choice(langs), "", "") for i in range(7000)]
+    got = K.mix(spark.createDataFrame(rows, DOCS)).collect()
+    own, kept = {}, {}
+    for _, text, _, lang, *_ in rows:
+        own[lang] = own.get(lang, 0) + len(text.split())
+    for r in got:
+        kept[r["lang"]] = kept.get(r["lang"], 0) + r["_tokens"]
+    own, kept = [{k: n / sum(d.values()) for k, n in d.items()} for d in (own, kept)]
+    named = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}
+    left = 1 - own[None] - own["xx"]
+    expect = {None: own[None], "xx": own["xx"], **{k: s * left for k, s in named.items()}}
+    assert kept == pytest.approx(expect, abs=0.04)
+
+
+def test_only_languages_without_a_share(spark):
+    rows = [(i, "a b c", "s", None if i % 3 else "xx", "", "") for i in range(90)]
+    got = K.sampled_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(90)) and all(r["probability"] == 1 for r in got)
+
+
+def test_values_of_share_0_are_left_out(spark):
+    df = spark.createDataFrame([("p", "x", 10), ("q", "y", 10), ("q", "x", 5)], "a string, b string, tokens long")
+    got = K.keep_probabilities(K.rake(df, {"a": {"p": 1.0, "q": 0.0}, "b": 1.0}, rounds=5)).collect()
+    assert {(r["a"], r["b"]): r["probability"] for r in got} == {("p", "x"): 1, ("q", "y"): 0, ("q", "x"): 0}

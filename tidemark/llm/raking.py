@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACE_CLASS, saved
 
 #: Target marginals by column. Named shares hold for named values; what they leave goes to all other
-#: values in proportion to their tokens. A number tempers the shares: 1 leaves them as they are,
+#: values in proportion to their tokens. Where they leave nothing, other values keep the share of
+#: tokens that they have, and named shares hold among the rest. A number tempers the shares: 1 leaves them as they are,
 #: and the smaller it is, the more alike they become.
 Targets = Mapping[str, Mapping[str, float] | float]
 
@@ -27,6 +28,8 @@ ROUNDS = 30
 ROUNDS_AT_ONCE = 10
 #: Up to this many cells are raked by one task; more are shuffled.
 CELLS_AT_ONCE = 20_000
+#: Named shares that leave less than this leave nothing.
+LEAST_REST = 1e-9
 #: Value of a null in a column that is raked.
 NONE = "none"
 
@@ -70,13 +73,21 @@ def _target(column: str, target: Mapping[str, float] | float, cells: DataFrame)
     values = values.withColumn("_own", F.col("_tokens") / total)
     if isinstance(target, Mapping):
         named = F.coalesce(*[F.when(F.col(column) == v, F.lit(float(s))) for v, s in sorted(target.items())], F.lit(None))
-        rest = max(0.0, 1.0 - sum(target.values()))
+        rest = 1.0 - sum(target.values())
         others = F.sum(F.when(named.isNull(), share)).over(Window.partitionBy())
-        wanted = F.coalesce(named, F.lit(rest) * share / others)
+        if rest > LEAST_REST:
+            wanted = F.coalesce(named, F.lit(rest) * share / others)
+        else:
+            # Named shares as they are to one another, over the tokens of named values.
+            present = F.sum(named).over(Window.partitionBy())
+            scaled = F.when(named == 0, 0.0).otherwise(named / present * (1 - F.coalesce(others, F.lit(0.0))))
+            wanted = F.coalesce(scaled, share)
     else:
         wanted = F.pow(share, F.lit(float(target)))
     values = values.withColumn("_wanted", wanted)
-    values = values.withColumn(name, F.col("_wanted") / F.sum("_wanted").over(Window.partitionBy()))
+    # If only values of share 0 are there, they stay as they are.
+    sums = F.sum("_wanted").over(Window.partitionBy())
+    values = values.withColumn(name, F.when(sums > 0, F.col("_wanted") / sums).otherwise(share))
     return cells.join(values.select(column, name), column)
 
 
@@ -103,7 +114,9 @@ def rake(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> DataFrame:
         cells = cells.coalesce(1) if one_task else cells
         for _ in range(min(ROUNDS_AT_ONCE, rounds - start)):
             for column in targets:
-                scale = F.col(f"_target_{column}") / F.sum("weight").over(_over(column))
+                present = F.sum("weight").over(_over(column))
+                # A value that another column has left without weight cannot be scaled.
+                scale = F.when(present > 0, F.col(f"_target_{column}") / present).otherwise(0.0)
                 cells = cells.withColumn("weight", F.col("weight") * scale)
         cells = saved(cells, "cells")
     cells = cells.coalesce(1) if one_task else cells
@@ -123,7 +136,9 @@ def keep_probabilities(raked: DataFrame) -> DataFrame:
     need = F.col("weight") / (F.col("tokens") / F.sum("tokens").over(everything))
     needed = raked.withColumn("_need", need)
     # Digits beyond these depend on the order of summation.
-    return needed.withColumn("probability", F.round(F.col("_need") / F.max("_need").over(everything), 9)).drop("_need")
+    most = F.max("_need").over(everything)
+    chance = F.when(most > 0, F.round(F.col("_need") / most, 9)).otherwise(0.0)
+    return needed.withColumn("probability", chance).drop("_need")
 
 
 def described(docs: DataFrame) -> DataFrame:
