@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 
+from tidemark.llm import compression
 from tidemark.llm.compression import CompressionModel, score_quality, train
 
 DOCS, LABELS = "doc_id long, text string, lang string, score string", "doc_id long, quality int"
@@ -67,3 +68,13 @@ def test_whole_texts_count():
 
 def test_one_class_only():
     assert train([("a b", 1), ("c d", 1)]) == CompressionModel(b"", b"", (), pytest.approx(0.75))
+
+
+def test_empty_texts_get_the_share_of_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(compression, "PER_CLASS", 10)
+    rows = [(i, f"text {i} " * 9, int(i % 5 > 0)) for i in range(200)]
+    docs = spark.createDataFrame([*[(i, t) for i, t, _ in rows], (900, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    got = score_quality(docs, labels).where("doc_id = 900").first()
+    known = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert got["score"] == pytest.approx((sum(known) + 1) / (len(known) + 2)) and got["predicted"] == 1

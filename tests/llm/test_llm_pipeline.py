@@ -44,6 +44,18 @@ def test_toxicity_stage(spark, docs):
     assert {90001, 90002, 90003, None} <= set(ids)
 
 
+def test_toxicity_stage_keeps_texts_without_words(spark, tmp_path):
+    rows = [(i, f"you idiot scum number{i}" if i % 4 else f"quiet river water number{i}") for i in range(200)]
+    every = [(k, t, "en", "s", 0) for k, t in [*rows, (900, None), (901, ""), (902, " \n "), (None, "")]]
+    docs = spark.createDataFrame(every, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in rows], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in C.without_toxic(spark, docs, str(tmp_path)).collect()}
+    assert {900, 901, 902, None} <= kept and len(kept) < 100
+    labels.where("toxic = 1").write.parquet(f"{tmp_path}/one/labels.parquet")
+    assert C.without_toxic(spark, docs, f"{tmp_path}/one").count() == len(every)
+
+
 def test_near_duplicate_stage(spark, docs):
     every = with_odd_rows(spark, docs)
     kept = C.without_near_duplicates(spark, every, SF_DIR)

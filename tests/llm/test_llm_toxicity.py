@@ -89,3 +89,15 @@ def test_similar_is_screened_but_not_changed(machine):
         k = T.subsequence_kernel(np.repeat(T._codes([w], -1), len(codes), axis=0), codes)
         full = (k / np.sqrt(T._self_kernel([w])) / machine._norms) ** T.POWER
         assert np.abs(got[i] - full).max() < 0.05
+
+
+def test_empty_texts_get_the_share_of_all_labels(spark, monkeypatch):
+    # A sample with as many toxic as clean texts, clean copies in it.
+    monkeypatch.setattr(T, "PER_CLASS", 20)
+    rows = [(i, "the same clean text" if not y else t, y) for i, t, y in texts(400)]
+    docs = spark.createDataFrame([(i, t, "") for i, t, _ in rows] + [(900, None, ""), (901, "", "")], DOCS)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, LABELS)
+    got = {r["doc_id"]: r for r in T.score_toxicity(docs, labels).where("doc_id >= 900").collect()}
+    known = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    assert got[900]["score"] == got[901]["score"] == pytest.approx(sum(known) / (len(known) + 2))
+    assert got[900]["predicted"] == got[901]["predicted"] == 0

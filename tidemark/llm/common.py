@@ -59,6 +59,16 @@ def labelled_sample(
     return rows
 
 
+def positive_share(labels: DataFrame, label: str, keep: Column, more: float, key: str = "doc_id") -> float:
+    """The share of label 1 among all different labelled rows, with `more` rows of label 1 among two
+    added. Unlike the share in a sample that is bounded by class, it is the same for any size."""
+    picked = labels.select(F.col(key), F.col(label).cast("int").alias("_label")).where(
+        keep & F.col(key).isNotNull() & F.col("_label").isin(0, 1)
+    )
+    n, ones = picked.distinct().agg(F.count(F.lit(1)), F.coalesce(F.sum("_label"), F.lit(0))).first()
+    return (ones + more) / (n + 2)
+
+
 def text_sample(df: DataFrame, column: str, n: int, max_chars: int) -> list[str]:
     """Up to `n` different texts of `column`, for training on the driver.
 

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fit_logistic, fold, labelled_sample, logistic
+from tidemark.llm.common import fit_logistic, fold, labelled_sample, logistic, positive_share
 
 LEVEL = 3
 DICTIONARY_BYTES = 112 << 10
@@ -74,13 +74,15 @@ def _dictionary(texts: Sequence[str]) -> bytes:
         return b"\n".join(blocks)[-DICTIONARY_BYTES:]
 
 
-def train(rows: Sequence[tuple[str, int]]) -> CompressionModel:
+def train(rows: Sequence[tuple[str, int]], prior: float | None = None) -> CompressionModel:
     """Dictionaries from one half of the rows, the calibration from the other.
 
     A text compresses too well against a dictionary it went into, so halves must not overlap:
-    equal texts stay in one half. With a class missing, every score is the share of good rows.
+    equal texts stay in one half. With a class missing, every score is `prior`,
+    by default the share of good rows.
     """
-    prior = (sum(label for _, label in rows) + 1) / (len(rows) + 2)
+    if prior is None:
+        prior = (sum(label for _, label in rows) + 1) / (len(rows) + 2)
     unique = list(dict.fromkeys((text, label) for text, label in rows if text))
     half = {0: 0, 1: 0}
     parts: dict[tuple[int, int], list[str]] = {(label, part): [] for label in (0, 1) for part in (0, 1)}
@@ -114,10 +116,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     """The quality of every document: doc_id, held_out, score (higher: good likelier), predicted.
 
     Labels are learnt from rows outside the held-out fold only, at most PER_CLASS texts of up to
-    MAX_CHARS characters of either class. Null and empty texts get the share of good training
-    rows. Only doc_id and text of `docs` are read; repeated rows are scored alike.
+    MAX_CHARS characters of either class. Null and empty texts get the share of good rows
+    among all those labels. Only doc_id and text of `docs` are read; repeated rows are scored alike.
     """
-    model = train(labelled_sample(docs, labels, "quality", fold("doc_id", folds) != held_out, PER_CLASS, MAX_CHARS))
+    keep = fold("doc_id", folds) != held_out
+    prior = positive_share(labels, "quality", keep, 1)
+    model = train(labelled_sample(docs, labels, "quality", keep, PER_CLASS, MAX_CHARS), prior)
     scored = docs.select(
         "doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), scorer(model).alias("score")
     )

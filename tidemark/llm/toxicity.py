@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fit_logistic, fold, labelled_sample, logistic
+from tidemark.llm.common import fit_logistic, fold, labelled_sample, logistic, positive_share
 
 #: Letters of a shared subsequence; how much each letter of its span counts; sharpening power.
 ORDER = 3
@@ -240,11 +240,13 @@ def disguised(word: str) -> set[str]:
     return {word[:k] + c + word[k:] for k in range(1, len(word)) for c in ("x", "h", word[k])}
 
 
-def train(rows: Sequence[tuple[str, int]]) -> KernelMachine:
-    """A machine from labelled texts; with a class missing every score is the share of toxic rows."""
+def train(rows: Sequence[tuple[str, int]], prior: float | None = None) -> KernelMachine:
+    """A machine from labelled texts; with a class missing every score is `prior`, by default the
+    share of toxic rows."""
     rows = [(t, y) for t, y in dict.fromkeys(rows) if t]
     n_toxic = sum(y for _, y in rows)
-    prior = 0.0 if not rows else n_toxic / (len(rows) + 2)
+    if prior is None:
+        prior = 0.0 if not rows else n_toxic / (len(rows) + 2)
     if not n_toxic or n_toxic == len(rows):
         return KernelMachine([], np.zeros(0), 0.0, (), prior)
     seen_in = (Counter(), Counter())
@@ -311,14 +313,15 @@ def scorer(machine: KernelMachine) -> Column:
 def trained_machine(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> KernelMachine:
     """A machine from a bounded sample of the labelled rows outside the held-out fold."""
     keep = fold("doc_id", folds) != held_out
-    return train(labelled_sample(docs, labels, "toxic", keep, PER_CLASS, MAX_CHARS))
+    prior = positive_share(labels, "toxic", keep, 0)
+    return train(labelled_sample(docs, labels, "toxic", keep, PER_CLASS, MAX_CHARS), prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
     """The toxicity of every document: doc_id, held_out, score (higher: toxic likelier), predicted.
 
     Labels are learnt from rows outside the held-out fold only. Null and empty texts get the share
-    of toxic training rows among those sampled, less than half. Only doc_id and text of `docs` are
+    of toxic rows among all those labels, however many there are. Only doc_id and text of `docs` are
     read; repeated rows are scored alike.
     """
     machine = trained_machine(docs, labels, folds, held_out)
