@@ -66,6 +66,18 @@ def test_near_duplicate_stage(spark, docs):
     assert sorted(x for x in got if x is not None) == sorted(expect) and got.count(None) == 1
 
 
+def test_near_duplicate_stage_keeps_unlike_texts_of_one_id(spark):
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(3, long), (5, long + " more"), (5, "zebra " + long[::-1]), (7, "own text " * 9), (7, "own text " * 9)]
+    rows += [(9, f"text {i} " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(30)]
+    rows += [(9, ""), (9, None), (None, long), (None, long)]
+    docs = spark.createDataFrame(
+        [(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    got = [(r["doc_id"], r["text"]) for r in C.without_near_duplicates(spark, docs.repartition(3), "").collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], *rows[2:4], *rows[5:]], key=repr)
+
+
 def test_personal_data_stage(spark, docs):
     every = with_odd_rows(spark, docs)
     got = C.without_personal_data(spark, every, SF_DIR)
