@@ -113,3 +113,14 @@ def test_references_match_the_standard_library():
     for _ in range(200):
         raw = "".join(rng.choice("ab &;<>\"'é\n#1") for _ in range(rng.randint(0, 30)))
         assert text_of(f"<p>{html.escape(raw)}</p>") == re.sub(r"\s+", " ", raw).strip()
+
+
+def test_elements_below_the_learnt_depth_are_nodes():
+    deep = "<div>" * 250
+    tree = H.Tree(f"<body>{deep}<article class='story'><p>told here</p></article><div class='advert'>buy now</div>")
+    last = {frozenset(n.tokens): n for n in tree.nodes if n.tokens}
+    assert set(last) == {frozenset({"story"}), frozenset({"advert"})}
+    hints = tree.hints()
+    said = {text: hints[node] for node, text, _ in tree.texts}
+    assert said["told here"] == 1 and said["buy now"] != 1
+    assert max(n.depth for n in tree.nodes) > H.DEEPEST and tree.features().shape[0] == len(tree.nodes)

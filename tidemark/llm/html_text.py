@@ -55,7 +55,7 @@ TOKEN = re.compile(r"[a-z]+")
 #: Training reads at most this many pages of at most so many characters each.
 SAMPLE_PAGES = 800
 SAMPLE_CHARS = 100_000
-#: Elements nested deeper than this are taken as children of the one at this depth.
+#: The depth that is learnt from goes no further than this; deeper elements are nodes like others.
 DEEPEST = 200
 
 
@@ -133,16 +133,11 @@ class Tree(HTMLParser):
             return
         if tag in BLOCKS:
             above = self._open[-1][1]
-            if self.nodes[above].depth >= DEEPEST:
-                node = above
-            else:
-                values = [v for k, v in attrs if k in ("class", "id", "role", "itemprop") and v]
-                tokens = frozenset(t for v in values for t in TOKEN.findall(v.lower()))
-                node = len(self.nodes)
-                self.nodes.append(
-                    Node(tag, above, self.nodes[above].depth + 1, tokens, len(self.nodes[above].children))
-                )
-                self.nodes[above].children.append(node)
+            values = [v for k, v in attrs if k in ("class", "id", "role", "itemprop") and v]
+            tokens = frozenset(t for v in values for t in TOKEN.findall(v.lower()))
+            node = len(self.nodes)
+            self.nodes.append(Node(tag, above, self.nodes[above].depth + 1, tokens, len(self.nodes[above].children)))
+            self.nodes[above].children.append(node)
             self._open.append((tag, node))
             self._fresh = True
         else:
@@ -234,7 +229,7 @@ class Tree(HTMLParser):
                     float(bad),
                     float(above_good[at]),
                     float(above_bad[at]),
-                    float(node.depth),
+                    float(min(node.depth, DEEPEST)),
                     np.log1p(node.all_chars),
                     np.log1p(node.chars),
                     node.all_chars / page,
