@@ -67,6 +67,15 @@ def test_catalog_folds_events(spark):
     assert [tuple(r)[1:] for r in feed] == [(None, 1, "create"), (1, 2, "update")]
 
 
+def test_newest_versions_are_marked_without_gathering_a_view(spark):
+    spec = FeatureViewSpec("a", (Feature("x", "int64"),)).as_row()
+    rows = [("hot", v, spec, "FULL", T0) for v in range(1, 200)] + [("b", 3, spec, "FULL", T0), ("b", 3, spec, "FULL", T0)]
+    marked = registry.with_is_latest(spark.createDataFrame(rows, SCHEMA_VERSIONS))
+    assert "Window" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["feature_view"], r["version"]) for r in marked.where("is_latest").collect()]
+    assert marked.count() == 201 and sorted(got) == [("b", 3), ("b", 3), ("hot", 199)]
+
+
 def test_lookup_is_the_same_for_few_and_many_ids(spark):
     values = spark.range(50).select(F.col("id").cast("string").alias("entity_id"), "id", F.lit(None).cast("double").alias("__x"))
     ids = spark.createDataFrame([("1",), ("49",), ("50",), ("1",), ("50",)], "entity_id string")

@@ -49,8 +49,10 @@ def latest_version_numbers(versions: DataFrame, view: str = "feature_view") -> D
 
 def with_is_latest(versions: DataFrame, view: str = "feature_view") -> DataFrame:
     """Mark the one newest version of each view; derived, so it cannot go stale."""
-    newest = F.max("version").over(Window.partitionBy(view))
-    return versions.withColumn("is_latest", F.col("version") == newest)
+    # Numbers are added up before they meet, so that no task gets all rows of a view.
+    newest = versions.groupBy(F.col(view).alias("_view")).agg(F.max("version").alias("_newest"))
+    joined = versions.join(newest, F.col(view).eqNullSafe(F.col("_view")), "left")
+    return joined.withColumn("is_latest", F.col("version") == F.col("_newest")).drop("_view", "_newest")
 
 
 def latest_versions(versions: DataFrame, view: str = "feature_view") -> DataFrame:
