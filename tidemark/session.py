@@ -56,6 +56,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/data"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` to the shared scratch folder and read it back, column by column as needed.
+
+    Later uses see the same rows, whatever happens to executors. The files go when the
+    application ends.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Fix `df` in reliable storage, so that every later use sees the same rows."""
     spark = df.sparkSession
