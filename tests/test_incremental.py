@@ -1,0 +1,158 @@
+"""Incremental refreshes, numbered batches in tie breaks, summaries, and compaction by rule."""
+
+import datetime as dt
+import random
+
+import pytest
+
+from tidemark import Feature, FeatureTables, FeatureViewSpec
+from tidemark.plans.materialize import NEWEST, newest_rows
+from tidemark.session import scratch_path
+from tidemark.sources import online_table
+from tidemark.sources.online_table import OnlineTable
+
+T0 = dt.datetime(2024, 1, 1)
+SPEC = FeatureViewSpec("v", (Feature("a", "int64"),), ttl_seconds=600)
+
+
+@pytest.fixture
+def store(spark):
+    made = FeatureTables(spark, scratch_path(spark, "incremental"))
+    made.register_schema(SPEC, "NONE", now=T0)
+    return made
+
+
+def write(store, batch, *rows):
+    made = [(e, T0 + dt.timedelta(minutes=m), a) for e, m, a in rows]
+    df = store.spark.createDataFrame(made, "entity_id string, event_timestamp timestamp, a long")
+    store.write_rows("v", df, now=T0, batch=batch)
+
+
+def newest(df):
+    return sorted((r["entity_id"], r["event_timestamp"], r["a"]) for r in df.collect())
+
+
+def current(store):
+    return {r["entity_id"]: r["a"] for r in store.online("v").current(now=T0).collect()}
+
+
+def test_each_batch_is_read_once_and_late_rows_lose(store, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(type(store.log), "read", None)  # a refresh of the whole log would call it
+    for n in range(4):
+        write(store, f"b-{n}", *[(f"e{rng.randrange(8)}", rng.randrange(30), 100 * n + i) for i in range(12)])
+        fresh, _ = store.log.changes(SPEC, store.materializer.newest(SPEC)._commits.state()[0]["mark"])
+        assert fresh.count() == 12
+        store.materialize("v", incremental=True, now=T0)
+    monkeypatch.undo()
+    whole = newest(newest_rows(store.log.read(SPEC)))
+    assert newest(store.materializer.newest(SPEC).read()) == whole
+    assert current(store) == {e: a for e, _, a in whole}
+    assert store.materialize("v", incremental=True, now=T0)["entities_materialized"] == 0
+    with pytest.raises(ValueError, match="no range"):
+        store.materialize("v", incremental=True, start=T0)
+
+
+def test_replaced_batches_and_new_types_are_read_again(spark, store):
+    write(store, "b-0", ("x", 9, 1), ("y", 1, 2))
+    write(store, "b-1", ("x", 5, 3))
+    store.materialize("v", incremental=True, now=T0)
+    assert current(store) == {"x": 1, "y": 2}
+    write(store, "b-0", ("y", 2, 4))
+    store.log.pack(SPEC)
+    store.materialize("v", incremental=True, now=T0)
+    assert current(store) == {"x": 3, "y": 4}
+    retyped = FeatureViewSpec("v", (Feature("a", "string"),), ttl_seconds=600)
+    store.register_schema(retyped, "NONE", now=T0)
+    store.materialize("v", incremental=True, now=T0)
+    assert current(store) == {"x": "3", "y": "4"}
+
+
+def test_refresh_that_failed_is_repeated(store, monkeypatch):
+    write(store, "b-0", ("x", 1, 1))
+    kept = type(store.materializer.newest(SPEC))
+    monkeypatch.setattr(kept, "keep", lambda self, record: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.materialize("v", incremental=True, now=T0)
+    monkeypatch.undo()
+    write(store, "b-1", ("y", 1, 2))
+    assert store.materialize("v", incremental=True, now=T0)["entities_materialized"] == 2
+    assert current(store) == {"x": 1, "y": 2}
+
+
+def test_kept_rows_are_joined_when_parts_are_many(store, monkeypatch):
+    monkeypatch.setattr("tidemark.plans.materialize.KEPT_PARTS", 2)
+    for n in range(4):
+        write(store, f"b-{n}", ("x", n, n), (f"e{n}", 0, n))
+        store.materialize("v", incremental=True, now=T0)
+        assert len(store.materializer.newest(SPEC)._commits.state()[0]["parts"]) <= 2
+    assert newest(store.materializer.newest(SPEC).read()) == newest(newest_rows(store.log.read(SPEC)))
+
+
+def test_later_batches_win_ties(store):
+    """Of equal times the later batch counts, whatever places its rows have and if it comes again."""
+    write(store, "b-0", *[("x", 0, i) for i in range(5)])
+    write(store, "b-1", ("x", 0, 50))
+    write(store, "b-0", *[("x", 0, i) for i in range(5)])
+    assert [r["a"] for r in store.latest("v").collect()] == [50]
+    assert NEWEST == ("event_timestamp", "batch_seq", "ingest_seq")
+
+
+def test_summaries_without_a_scan(spark, store):
+    empty = store.feature_stats_sketched("v").first().asDict()
+    assert empty == {"feature_view": "v", "total_rows": 0, "about_entities": 0, "min_timestamp": None, "max_timestamp": None}
+    rows = spark.range(3000).selectExpr("CAST(id % 2000 AS string) AS entity_id", "timestamp_seconds(1704067200 + id) AS event_timestamp", "id AS a")
+    for name in ("one", "two", "one"):
+        store.write_rows("v", rows, now=T0, batch=name)
+    store.log.pack(SPEC)
+    df = store.feature_stats_sketched("v")
+    assert "parquet" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = df.first()
+    assert got["total_rows"] == 6000 and abs(got["about_entities"] - 2000) <= 100
+    assert (got["max_timestamp"] - got["min_timestamp"]).total_seconds() == 2999
+    store.delete_view_data("v")
+    assert store.feature_stats_sketched("v").first()["total_rows"] == 0
+
+
+def online_rows(spark, *pairs):
+    made = spark.createDataFrame([(e, a, i) for i, (e, a) in enumerate(pairs)], "entity_id string, a long, ingest_seq long")
+    return made.selectExpr("*", "array('a') AS feature_keys", "timestamp'2024-01-01' AS event_timestamp")
+
+
+def test_writes_compact_by_rule(spark, monkeypatch):
+    monkeypatch.setattr(online_table, "COMPACT_AFTER", 3)
+    monkeypatch.setattr(online_table, "MOST_DELTAS", 5)
+    table = OnlineTable(spark, scratch_path(spark, "rule"), SPEC)
+    kinds = []
+    for i in range(6):
+        table.upsert(online_rows(spark, (f"e{i}", i), ("x", i)), now=T0, batch=f"b-{i}")
+        kinds.append([p["kind"] for p in table._parts()])
+    assert max(len(k) for k in kinds) <= 3 and kinds[2] == ["base"]
+    rows = {r["entity_id"]: r["a"] for r in table.current(now=T0).collect()}
+    assert rows == {"x": 5, **{f"e{i}": i for i in range(6)}}
+    # Small deltas over a large base wait until there are many.
+    monkeypatch.setattr(online_table, "COMPACT_SHARE", 1e9)
+    lengths = []
+    for i in range(6):
+        table.upsert(online_rows(spark, ("y", i)), now=T0, batch=f"c-{i}")
+        lengths.append(len(table._parts()))
+    assert max(lengths) == 5 and lengths[-1] < 5
+    assert table.upsert(online_rows(spark, ("y", 99)), now=T0, batch="c-1") == 0
+
+
+def test_of_two_compactions_the_second_does_not_count(spark, monkeypatch):
+    table = OnlineTable(spark, scratch_path(spark, "race"), SPEC)
+    for i in range(3):
+        table.upsert(online_rows(spark, (f"e{i}", i)), now=T0, batch=f"b-{i}")
+    merged = table._merged
+
+    def meanwhile(parts, **options):
+        monkeypatch.undo()
+        table.compact(now=T0)
+        table.upsert(online_rows(spark, ("late", 7)), now=T0, batch="late")
+        return merged(parts, **options)
+
+    monkeypatch.setattr(table, "_merged", meanwhile)
+    table.compact(now=T0)
+    assert [p["kind"] for p in table._parts()] == ["base", "delta"]
+    assert {r["entity_id"]: r["a"] for r in table.current(now=T0).collect()} == {"e0": 0, "e1": 1, "e2": 2, "late": 7}

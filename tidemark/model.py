@@ -26,7 +26,7 @@ DEFAULT_TTL_SECONDS = 86400
 # Features must not begin like this, nor have the name of a column that the tables add to them.
 HIDDEN_PREFIX = "__"
 TABLE_COLUMNS = frozenset(
-    "entity_id event_timestamp event_date created_at ingest_seq message_id feature_keys event_ts_ms written_at "
+    "entity_id event_timestamp event_date created_at batch_seq ingest_seq message_id feature_keys event_ts_ms written_at "
     "expires_at deleted batch bucket seq part n_updates problem payload".split()
 )
 
@@ -136,8 +136,8 @@ SPINE = T.StructType(
     ]
 )
 
-# Total arrival order of log rows within one event timestamp.
-ARRIVAL = ("created_at", "ingest_seq")
+# Order of arrival of log rows: the number of their batch, then the place in it.
+ARRIVAL = ("batch_seq", "ingest_seq")
 
 
 @dataclass(frozen=True)
@@ -188,6 +188,7 @@ class FeatureViewSpec:
                 T.StructField("entity_id", T.StringType()),
                 T.StructField("event_timestamp", T.TimestampType()),
                 T.StructField("created_at", T.TimestampType()),
+                T.StructField("batch_seq", T.LongType()),
                 T.StructField("ingest_seq", T.LongType()),
                 T.StructField("message_id", T.StringType()),
                 T.StructField("feature_keys", T.ArrayType(T.StringType())),

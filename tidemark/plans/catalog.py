@@ -24,6 +24,7 @@ from tidemark.operators.lookup import (
     wide_listing,
 )
 from tidemark.operators.merge import merge_fields
+from tidemark.operators.positions import with_positions
 from tidemark.operators.stats import offline_stats, offline_stats_by_view, online_count, view_stats
 from tidemark.operators.validate import parse_rows, unknown_features
 from tidemark.plans.materialize import current_runs
@@ -522,6 +523,66 @@ def retyped_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.read(new).select(F.col("ingest_seq").alias("event_id"), "event_type", "k", "later")
 
 
+def replayed_after_retype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of clicks is logged, views follow, then the view's types change and the batch is
+    delivered again with half of its rows: it counts once, as it was delivered last."""
+    rows = user_activity(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("entity_id"),
+        F.col("ts").cast("timestamp").alias("event_timestamp"),
+        F.col("event_id").alias("ingest_seq"),
+        "event_type",
+        "k",
+    )
+    log = FeatureLog(spark, scratch_path(spark, "replayed"))
+    old = FeatureViewSpec("v", (Feature("event_type", "string"), Feature("k", "int64")))
+    new = FeatureViewSpec("v", (Feature("event_type", "string"), Feature("k", "string")))
+    log.append(old, of_type(rows, "click"), now=NOW, batch="updates-7")
+    log.append(old, of_type(rows, "view"), now=NOW, batch="updates-8")
+    again = of_type(rows, "click").where(F.col("ingest_seq") % 2 == 0)
+    log.append(new, again.withColumn("k", F.concat(F.lit("k"), F.col("k"))), now=NOW, batch="updates-7")
+    log.pack(new)
+    return log.read(new).select(F.col("ingest_seq").alias("event_id"), "event_type", "k")
+
+
+def activity_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Activity as log rows in three batches that overlap in time."""
+    rows = user_activity(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("entity_id"),
+        F.col("ts").cast("timestamp").alias("event_timestamp"),
+        F.col("event_id").alias("ingest_seq"),
+        *ACTIVITY,
+    )
+    return [rows.where(F.col("ingest_seq") % 3 == n) for n in range(3)]
+
+
+def refresh_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log grows by three batches, late rows among them; after each a refresh that reads the
+    new batch alone: current values as from one refresh of the whole log."""
+    store = FeatureTables(spark, scratch_path(spark, "incremental"))
+    store.register_schema(USER_ACTIVITY, now=NOW)
+    for n, batch in enumerate(activity_batches(spark, sf_dir)):
+        store.write_rows("user_activity", batch, now=NOW, batch=f"load-{n}")
+        store.materialize("user_activity", incremental=True, now=NOW)
+    return online_columns(store)
+
+
+def stats_from_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a log of three batches, one of them written twice, from the summaries; whether
+    the number of entities is as near as promised is told by counting them."""
+    log = FeatureLog(spark, scratch_path(spark, "sketched"))
+    batches = activity_batches(spark, sf_dir)
+    for n in (0, 1, 2, 1):
+        log.append(USER_ACTIVITY, batches[n], now=NOW, batch=f"load-{n}")
+    stats = log.sketched_stats(USER_ACTIVITY.name)
+    exact = log.read(USER_ACTIVITY).agg(F.countDistinct("entity_id")).scalar()
+    return stats.select(
+        "total_rows",
+        (F.abs(F.col("about_entities") - exact) <= 0.05 * exact).alias("near"),
+        F.col("min_timestamp").cast("timestamp_ntz").alias("min_timestamp"),
+        F.col("max_timestamp").cast("timestamp_ntz").alias("max_timestamp"),
+    )
+
+
 def untyped_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored text read without types: lists come back as numbers."""
     orders = table(spark, sf_dir, "orders")
@@ -582,6 +643,25 @@ def stream_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches whose event times are whole days, so that most tie; the first is delivered
+    again after the others. Of equal times the later batch wins, in it the later place."""
+    store = FeatureTables(spark, scratch_path(spark, "ties"))
+    store.register_schema(USER_ACTIVITY, now=NOW)
+    number = F.col("message_id").cast("long")
+    updates = event_updates(table(spark, sf_dir, "events")).withColumns(
+        {"event_timestamp": F.date_trunc("day", "event_timestamp"), "ingest_seq": -number}
+    )
+    for n in (0, 1, 2, 0):
+        apply_batch(store, updates.where(number * 7 % 3 == n), f"b-{n}", now=NOW)
+    newest = store.latest(USER_ACTIVITY.name).select(
+        "entity_id", F.col("message_id").cast("long").alias("newest_event"), F.col("value").alias("newest_value")
+    )
+    return newest.join(store.online(USER_ACTIVITY.name).current(now=NOW), "entity_id").select(
+        F.col("entity_id").cast("long").alias("user_id"), "newest_event", "newest_value", *ACTIVITY
+    )
+
+
 def stream_current_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_columns(streamed_store(spark, sf_dir))
 
@@ -730,6 +810,21 @@ def rows_of_active_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("feature_view", "o_orderkey", "o_totalprice")
 
 
+def ordered_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's features as of its time, numbered in the order of the labels."""
+    return with_positions(pit_user_activity(spark, sf_dir), ["spine_id"])
+
+
+def views_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active views with their places in the listing by name."""
+    return with_positions(active_views_with_spec(spark, sf_dir), ["name"])
+
+
+def runs_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each view's runs with their places in its history, newest first, and how many it has."""
+    return with_positions(run_history(spark, sf_dir), ["-created_at", "job_id"], within=["feature_view"], total="runs")
+
+
 def log_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranged = within(table(spark, sf_dir, "events"), "ts", ntz(WINDOW[0]), ntz(WINDOW[1]))
     return ranged.select("event_id", "user_id", "ts")
@@ -799,4 +894,11 @@ QUERIES: dict[str, Query] = {
     "active_views_with_spec": active_views_with_spec,
     "count_views": count_views,
     "rows_of_active_views": rows_of_active_views,
+    "replayed_after_retype": replayed_after_retype,
+    "stream_ties": stream_ties,
+    "refresh_incremental": refresh_incremental,
+    "stats_from_sketches": stats_from_sketches,
+    "ordered_training_rows": ordered_training_rows,
+    "views_by_name": views_by_name,
+    "runs_newest_first": runs_newest_first,
 }

@@ -511,4 +511,39 @@ WHERE c.is_active""",
 WITH {CATALOG}
 SELECT 'view_' || o_custkey AS feature_view, o_orderkey, o_totalprice FROM orders
 WHERE 'view_' || o_custkey IN (SELECT name FROM folded WHERE is_active)""",
+    "replayed_after_retype": f"""
+WITH {ACTIVITY}
+SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 'k' ELSE '' END || k AS k
+FROM activity WHERE event_type = 'view' OR event_type = 'click' AND event_id % 2 = 0""",
+    "stream_ties": f"""
+WITH {ACTIVITY}, {STREAMED},
+numbered AS (SELECT *, date_trunc('day', ts) AS day, event_id * 7 % 3 AS batch FROM applied)
+SELECT user_id,
+       arg_max(event_id, (day, batch, -event_id)) AS newest_event,
+       arg_max({{'v': CASE WHEN event_type = 'purchase' THEN value END}}, (day, batch, -event_id)).v AS newest_value,
+       arg_max(value, (batch, -event_id)) FILTER (WHERE event_type = 'purchase') AS value,
+       arg_max(event_type, (batch, -event_id)) AS event_type,
+       arg_max(k, (batch, -event_id)) FILTER (WHERE event_type = 'click') AS k
+FROM numbered GROUP BY user_id""",
+    "refresh_incremental": f"""
+WITH {ACTIVITY}
+SELECT user_id, arg_max(value, (ts, event_id % 3, event_id)) AS value,
+       arg_max(event_type, (ts, event_id % 3, event_id)) AS event_type,
+       arg_max(k, (ts, event_id % 3, event_id)) AS k, epoch_us(max(ts)) // 1000 AS event_ts_ms,
+       CAST(epoch(TIMESTAMP '2024-01-30 12:00:00' + INTERVAL 7 DAY) AS BIGINT) AS expires_s
+FROM activity GROUP BY user_id""",
+    "stats_from_sketches": """
+SELECT count(*) AS total_rows, true AS near, min(ts) AS min_timestamp, max(ts) AS max_timestamp FROM events""",
+}
+
+# The same rows with their places.
+ORACLE |= {
+    "ordered_training_rows": f"""
+SELECT *, row_number() OVER (ORDER BY spine_id) - 1 AS position FROM ({ORACLE["pit_user_activity"]})""",
+    "views_by_name": f"""
+SELECT *, row_number() OVER (ORDER BY name) - 1 AS position FROM ({ORACLE["active_views_with_spec"]})""",
+    "runs_newest_first": f"""
+SELECT *, row_number() OVER (PARTITION BY feature_view ORDER BY created_at DESC, job_id) - 1 AS position,
+       count(*) OVER (PARTITION BY feature_view) AS runs
+FROM ({ORACLE["run_history"]})""",
 }

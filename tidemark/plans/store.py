@@ -328,6 +328,10 @@ class FeatureTables:
         online = online_count(self.online(view).current(now=now or utc_now()), now or utc_now())
         return offline.select(F.lit(view).alias("feature_view"), "*", online.scalar().alias("online_entities"))
 
+    def feature_stats_sketched(self, view: str) -> DataFrame:
+        """Log statistics out of what was summed up at writing; entities within 5 %, the rest exact."""
+        return self.log.sketched_stats(self.spec(view).name).select(F.lit(view).alias("feature_view"), "*")
+
     # --- refreshes -----------------------------------------------------------------------
 
     def materialize(self, view: str, **options: Any) -> dict:

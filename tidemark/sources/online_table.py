@@ -1,12 +1,15 @@
 """Current-value table of a view: a compacted base plus the batches written since.
 
 A batch never rewrites the table. It adds a delta with one merged row per entity and then
-one line to the manifest, so a batch is visible as a whole or not at all, and a batch name
+one record to the list of parts, so a batch is visible as a whole or not at all, and a batch name
 that is already listed is not applied twice. Reads merge base and deltas field by field;
 `compact` folds them into a new base and names the batches it covers, so a batch that another
 writer lists meanwhile is still read after it. Writers do not wait for each other: each batch has
-a folder of its own, and batches that took the same number count in the order of their names. Two
-compactions of one view must not run at once.
+a folder of its own, and batches that took the same number count in the order of their names. Of two
+compactions at once the one that is listed second does not count.
+
+Writes compact by themselves, so that reads merge few deltas: once `COMPACT_AFTER` deltas have a
+`COMPACT_SHARE` of the base's bytes between them, or when there are `MOST_DELTAS`.
 """
 
 from __future__ import annotations
@@ -23,19 +26,10 @@ from tidemark.model import FeatureViewSpec
 from tidemark.operators.lookup import unexpired
 from tidemark.operators.merge import merge_fields, since_reset
 from tidemark.session import plan_bytes
-from tidemark.sources.tables import empty, read_or_empty, recast, rows, types_key
-
-MANIFEST = T.StructType(
-    [
-        T.StructField("seq", T.LongType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("batch", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("buckets", T.IntegerType()),
-        T.StructField("covers", T.ArrayType(T.StringType())),
-        T.StructField("types", T.StringType()),
-    ]
-)
+from tidemark.sources.commits import Commits, State
+from tidemark.sources.tables import empty, folder_bytes, recast, types_key
+
+COMPACT_AFTER, COMPACT_SHARE, MOST_DELTAS = 16, 0.1, 128
 # A base is cut into buckets of about this size, so that a lookup reads few of them.
 BUCKET_BYTES = 512 << 20
 MAX_BUCKETS = 4096
@@ -46,6 +40,21 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("entity_id"), F.lit(buckets)).cast("int")
 
 
+def _nothing() -> State:
+    return {"batches": {}, "parts": []}
+
+
+def _apply(state: State, record: dict) -> None:
+    """Add a delta, unless its batch is listed, or a base, unless it was made of another than the newest."""
+    parts = state["parts"]
+    if record["kind"] == "delta":
+        if record["batch"] not in state["batches"]:
+            state["batches"][record["batch"]] = record["seq"]
+            parts.append(record)
+    elif [p["path"] for p in parts if p["kind"] == "base"] == record["over"]:
+        state["parts"] = [record, *(p for p in parts if p["kind"] == "delta" and p["path"] not in record["covers"])]
+
+
 class OnlineTable:
     def __init__(self, spark: SparkSession, root: str, spec: FeatureViewSpec) -> None:
         self.spark = spark
@@ -57,28 +66,22 @@ class OnlineTable:
 
     # --- manifest ------------------------------------------------------------------------
 
-    def _manifest(self) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.path}/manifest", MANIFEST, "json")
+    def _commits(self) -> Commits:
+        return Commits(self.spark, f"{self.path}/manifest", _nothing, _apply)
 
     def _position(self, batch: str) -> tuple[int, bool]:
-        """Number of the newest line and whether `batch` is listed already."""
-        seq, known = self._manifest().agg(F.max("seq"), F.max(F.col("batch") == batch)).first()
-        return seq or 0, bool(known)
+        """The highest number that a part has and whether `batch` is listed already."""
+        state, _ = self._commits().state()
+        numbers = [*state["batches"].values(), *(p["seq"] for p in state["parts"])]
+        return max(numbers, default=0), batch in state["batches"]
 
-    def _publish(
-        self, seq: int, kind: str, batch: str, path: str, buckets: int | None = None, covers: list[str] | None = None
-    ) -> None:
-        line = rows(self.spark, [(seq, kind, batch, path, buckets, covers, self._types)], MANIFEST)
-        line.write.mode("append").json(f"{self.path}/manifest")
+    def _publish(self, seq: int, kind: str, path: str, **more: Any) -> None:
+        size = folder_bytes(self.spark, path)
+        self._commits().add({"seq": seq, "kind": kind, "path": path, "types": self._types, "bytes": size, **more})
 
-    def _parts(self) -> list:
+    def _parts(self) -> list[dict]:
         """The newest base and the deltas that no base covers: what is left since a compaction."""
-        listed = self._manifest()
-        bases = listed.where("kind = 'base'")
-        newest = bases.orderBy(F.desc("seq")).limit(1)
-        covered = bases.select(F.explode("covers").alias("path"))
-        deltas = listed.where("kind = 'delta'").join(covered, "path", "left_anti")
-        return newest.unionByName(deltas.select(*newest.columns)).distinct().collect()
+        return self._commits().state()[0]["parts"]
 
     # --- writes --------------------------------------------------------------------------
 
@@ -110,7 +113,9 @@ class OnlineTable:
             .withColumn("expires_at", expires_at(F.col("written_at"), ttl_or_default(ttl, self.spec.ttl_seconds)))
             .withColumn("deleted", F.lit(False))
         )
-        return self._add(delta, batch)
+        n = self._add(delta, batch)
+        self._tidy(now)
+        return n
 
     def delete(self, entities: DataFrame, *, now: Any, batch: str | None = None) -> int:
         """Remove the current rows of the listed entities."""
@@ -133,13 +138,22 @@ class OnlineTable:
         if known:
             return 0
         seq = newest + 1
-        # Folder names must not depend on what characters a batch name has.
-        path = f"{self.path}/delta/seq={seq}/part={uuid.uuid5(uuid.NAMESPACE_URL, batch).hex}"
-        delta.sortWithinPartitions("entity_id").write.mode("overwrite").parquet(path)
+        # Folder names must not depend on what characters a batch name has. Attempts at one batch have
+        # folders of their own, of which the first that is listed counts.
+        path = f"{self.path}/delta/seq={seq}/part={uuid.uuid5(uuid.NAMESPACE_URL, batch).hex}-{uuid.uuid4().hex}"
+        delta.sortWithinPartitions("entity_id").write.parquet(path)
         n = self.spark.read.schema("n_updates long").parquet(path).agg(F.sum("n_updates")).first()[0] or 0
-        self._publish(seq, "delta", batch, path)
+        self._publish(seq, "delta", path, batch=batch)
         return n
 
+    def _tidy(self, now: Any) -> None:
+        """Compact when the deltas are many, by the rule above."""
+        parts = self._parts()
+        deltas = [p["bytes"] for p in parts if p["kind"] == "delta"]
+        base = sum(p["bytes"] for p in parts if p["kind"] == "base")
+        if len(deltas) >= COMPACT_AFTER and (sum(deltas) >= COMPACT_SHARE * base or len(deltas) >= MOST_DELTAS):
+            self.compact(now=now)
+
     def compact(self, *, now: Any, buckets: int | None = None) -> None:
         """Fold all listed batches into a new base without the expired rows.
 
@@ -148,9 +162,7 @@ class OnlineTable:
         parts = self._parts()
         if not any(p["kind"] == "delta" for p in parts):
             return
-        # Above all that it covers, so that the newest base is the one with the highest number.
         seq = max(p["seq"] for p in parts) + 1
-        # A delta that was listed late may leave the number as it was.
         path = f"{self.path}/base/seq={seq}/part={uuid.uuid4().hex}"
         merged = self._merged(parts, now=now)
         buckets = buckets or max(1, min(MAX_BUCKETS, plan_bytes(merged) // BUCKET_BYTES))
@@ -158,12 +170,12 @@ class OnlineTable:
             merged.withColumn("bucket", _bucket(buckets))
             .hint("rebalance", "bucket")
             .sortWithinPartitions("bucket", "entity_id")
-            .write.mode("overwrite")
-            .partitionBy("bucket")
+            .write.partitionBy("bucket")
             .parquet(path)
         )
         covers = [p["path"] for p in parts if p["kind"] == "delta"]
-        self._publish(seq, "base", f"base-{seq}", path, buckets, covers)
+        over = [p["path"] for p in parts if p["kind"] == "base"]
+        self._publish(seq, "base", path, buckets=buckets, covers=covers, over=over)
 
     # --- reads ---------------------------------------------------------------------------
 

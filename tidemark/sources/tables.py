@@ -43,6 +43,13 @@ def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return sorted(n for n in names if n.startswith(prefix))
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """The size of all files below `path`."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(folder).getLength() if fs.exists(folder) else 0
+
+
 def recast(df: DataFrame, schema: T.StructType) -> DataFrame:
     """`df` under another schema: absent columns are null, and so are values that have no form in it."""
     have = {f.name: f.dataType for f in df.schema.fields}
