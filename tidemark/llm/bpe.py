@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from hashlib import sha256
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words whose ids a worker remembers, in each of two generations: when the younger is full, the
-#: older one goes and the younger takes its place.
-REMEMBERED_WORDS = 80_000
+#: older one goes and the younger takes its place. A word takes about 200 bytes.
+REMEMBERED_WORDS = 300_000
 REMEMBERED_PAIRS = 150_000
 #: Texts that show whether a model normalises, prefixes and falls back as this module does.
 PROBES = ("", " ", "a", "  a  b ", "a\nb\t", "é́ ﬁ Ａ", "日本 \U0001f600", "<s></s>", f"x{MARK} y")
@@ -37,7 +38,8 @@ class PieceCodec:
     bytes; any other model is refused when it is loaded.
     """
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, remembered_words: int | None = None):
+        self.most_words = remembered_words or REMEMBERED_WORDS
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
@@ -51,19 +53,19 @@ class PieceCodec:
         # Merges happen in the order of falling scores; equal scores are one rank.
         scores = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
         self.rank = {i: scores[model.get_score(i)] for i in plain}
-        letters = {c for piece in self.ids for c in piece}
+        self.letters = letters = frozenset(c for piece in self.ids for c in piece)
         if len(self.bytes) != 256 or any(c not in self.ids for c in letters):
             raise ValueError("the model needs byte fallback and a piece for each of its letters")
         self.first: dict[int, int] = {}
         self.last: dict[int, int] = {}
+        self.length = [len(piece) for piece in self.pieces]
         self.matcher = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             made = self._merged(piece)
-            # A piece that merging never makes is not a candidate.
-            if made is not None:
-                if len(piece) > 1:
-                    self.first[i], self.last[i] = made
-                self.matcher.add_word(piece, (len(piece), i))
+            # A piece that merging never makes is not a candidate; letters need not be looked for.
+            if made is not None and len(piece) > 1:
+                self.first[i], self.last[i] = made
+                self.matcher.add_word(piece, (len(piece) - 1, i))
         self.matcher.make_automaton()
         self.shorter = {i: self._prefix(piece) for piece, i in self.ids.items()}
         # A space mark never follows another letter in a piece, nor is a line end part of one, so
@@ -84,8 +86,11 @@ class PieceCodec:
         for value, i in self.bytes.items():
             if value < 128:
                 self.shown[i] = chr(value)
-        self.remembered: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        # Ids as packed numbers, two bytes each where that is enough.
+        self.packed = "H" if size <= 1 << 16 else "I"
+        self.number = [str(i) for i in range(size)]
+        self.remembered: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         if any(self.encode(t) != model.encode(t) or self.decode(model.encode(t)) != model.decode(model.encode(t)) for t in PROBES):
             raise ValueError("the model normalises text in a way that is not supported")
@@ -148,58 +153,73 @@ class PieceCodec:
 
     def _encode_known(self, text: str) -> list[int]:
         """Ids of a text all of whose letters have pieces."""
-        longest = [-1] * len(text)
-        reach = [0] * len(text)
-        for end, (n, i) in self.matcher.iter(text):
-            if n > reach[end - n + 1]:
-                longest[end - n + 1], reach[end - n + 1] = i, n
-        if reach[0] == len(text):
+        longest = [self.ids[c] for c in text]
+        # Matches come in the order of their ends, so the last one from a place is the longest.
+        for end, (back, i) in self.matcher.iter(text):
+            longest[end - back] = i
+        size = len(text)
+        if self.length[longest[0]] == size:
             return [longest[0]]
+        length, shorter, pairs = self.length, self.shorter, self.pairs
         out: list[int] = []
-        at, failed, piece = 0, 0, longest[0]
-        while at < len(text):
+        at, failed, piece, last = 0, 0, longest[0], -1
+        while at < size:
             while piece >= 0:
-                end = at + len(self.pieces[piece])
-                if not failed >> end & 1 and (not out or self.compatible(out[-1], piece)):
-                    break
-                piece = self.shorter[piece]
+                end = at + length[piece]
+                if not failed >> end & 1:
+                    if last < 0:
+                        break
+                    fits = pairs.get((last, piece))
+                    if fits or fits is None and self.compatible(last, piece):
+                        break
+                piece = shorter[piece]
             if piece >= 0:
                 out.append(piece)
-                at = end
-                piece = longest[at] if at < len(text) else -1
+                at, last = end, piece
+                piece = longest[at] if at < size else -1
             else:
                 failed |= 1 << at
-                last = out.pop()
-                at -= len(self.pieces[last])
-                piece = self.shorter[last]
+                gone = out.pop()
+                at -= length[gone]
+                last = out[-1] if out else -1
+                piece = shorter[gone]
         return out
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
+    def _word(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            ids: list[int] = []
-            # Every second part is a letter without a piece.
-            for k, part in enumerate(self.unknown.split(word)):
-                if k % 2:
-                    ids += [self.bytes[x] for x in part.encode("utf-8", "replace")]
-                elif part:
-                    ids += self._encode_known(part)
-            found = (tuple(ids), ",".join(map(str, ids)))
+            if self.letters.issuperset(word):
+                ids = self._encode_known(word)
+            else:
+                ids = []
+                # Every second part is a letter without a piece.
+                for k, part in enumerate(self.unknown.split(word)):
+                    if k % 2:
+                        ids += [self.bytes[x] for x in part.encode("utf-8", "replace")]
+                    elif part:
+                        ids += self._encode_known(part)
+            found = array(self.packed, ids).tobytes()
         if len(word) <= 64:
-            if len(self.remembered) >= REMEMBERED_WORDS:
+            if len(self.remembered) >= self.most_words:
                 self.remembered, self.older = {}, self.remembered
             self.remembered[word] = found
         return found
 
-    def words_of(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids of every word in turn, and the same ids as text."""
+    def packed_ids(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
         if not text:
-            return []
-        word = self._word
-        return [self.remembered.get(w) or word(w) for w in self.words.findall(MARK + text.replace(" ", MARK))]
+            return np.empty(0, dtype=self.packed)
+        word, known = self._word, self.remembered.get
+        # A word's ids are never empty, so what is not found is not remembered.
+        found = b"".join([known(w) or word(w) for w in self.words.findall(MARK + text.replace(" ", MARK))])
+        return np.frombuffer(found, dtype=self.packed)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.words_of(text) for i in ids]
+        return self.packed_ids(text).tolist()
+
+    def forget(self) -> None:
+        """Give the memory of remembered words back."""
+        self.remembered, self.older, self.pairs = {}, {}, {}
 
     def decode(self, ids: Sequence[int]) -> str:
         if self.high.isdisjoint(ids):
@@ -242,30 +262,35 @@ def _utf8(data: bytes) -> str:
 
 
 @lru_cache(maxsize=2)
-def codec(model_file: str) -> PieceCodec:
-    """One codec per worker and model."""
-    return PieceCodec(model_file)
+def codec(model_file: str, remembered_words: int = REMEMBERED_WORDS) -> PieceCodec:
+    """One codec per worker, model and size of memory."""
+    return PieceCodec(model_file, remembered_words)
 
 
-def encode_column(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode_column(
+    docs: DataFrame, model_file: str, text: str = "text", out: str = "ids", remembered_words: int = REMEMBERED_WORDS
+) -> DataFrame:
     """`docs` with the ids of column `text` in `out`, a column of this name replaced; null text has none."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = codec(model_file)
+        pieces = codec(model_file, remembered_words)
         for texts in batches:
             # Four bytes an id; a list of numbers takes twice that before it is sent.
-            yield pd.Series([np.array(pieces.encode(t or ""), dtype=np.int32) for t in texts], dtype="object")
+            yield pd.Series([pieces.packed_ids(t or "").astype(np.int32) for t in texts], dtype="object")
 
     return docs.withColumn(out, ids(F.col(text)))
 
 
-def decode_column(docs: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode_column(
+    docs: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded", remembered_words: int = REMEMBERED_WORDS
+) -> DataFrame:
     """`docs` with the text of the ids in column `ids` in `out`; null ids give empty text."""
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = codec(model_file)
+        # The same as in encoding, so that a worker holds one.
+        pieces = codec(model_file, remembered_words)
         for rows in batches:
             yield rows.map(lambda row: "" if row is None else pieces.decode(row.tolist()))
 
@@ -286,12 +311,11 @@ def token_digest(docs: DataFrame, model_file: str) -> DataFrame:
         for texts in batches:
             rows = []
             for text in texts:
-                words = pieces.words_of(text or "")
-                ids = [i for found, _ in words for i in found]
+                ids = pieces.encode(text or "")
                 rows.append(
                     (
                         len(ids),
-                        sha256(",".join([shown for _, shown in words]).encode()).hexdigest(),
+                        sha256(",".join([pieces.number[i] for i in ids]).encode()).hexdigest(),
                         sha256(pieces.decode(ids).encode()).hexdigest(),
                     )
                 )
