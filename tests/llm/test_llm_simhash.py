@@ -72,6 +72,24 @@ def test_documents(spark, step, monkeypatch):
     assert sorted(((str(r[0]), *r[1:]) for r in got), key=repr) == expected(rows)
 
 
+def test_one_id_that_a_third_of_all_rows_share(spark, monkeypatch):
+    """Ranges of many rows are cut into parts, and the order goes on across them."""
+    monkeypatch.setattr(S, "PART_ROWS", 7)
+    sample = texts(120, seed=11)
+    rows = [(i, t) for i, t in enumerate(sample[:60])] + [(200, t) for t in sample[60:95]] + [(None, t) for t in sample[95:]]
+    rows += [(200, "same text")] * 9 + [(5000, "last"), (201, "beside")]
+    df = spark.createDataFrame([(k, t, "clash") for k, t in rows], DOCS).repartition(4)
+    got = S.fingerprint_documents(df).collect()
+    assert sorted(((str(r[0]), *r[1:]) for r in got), key=repr) == expected(rows)
+
+
+def test_heavy_words_do_not_overflow(spark):
+    sample = ["extraordinary " * 30_000, "extraordinarily uncharacteristic " * 9_000]
+    df = spark.createDataFrame(list(enumerate(sample)), "doc_id long, text string")
+    got = {r["doc_id"]: unsigned(r["fingerprint"]) for r in S.with_fingerprint(df).collect()}
+    assert got == {i: by_hand(t) for i, t in enumerate(sample)}
+
+
 def test_one_and_no_document(spark):
     one = spark.createDataFrame([(5, "alone here", "")], DOCS)
     assert [(str(r[0]), *r[1:]) for r in S.fingerprint_documents(one).collect()] == expected([(5, "alone here")])

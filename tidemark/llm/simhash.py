@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE_CLASS, saved
+from tidemark.operators.positions import with_positions
 
 BITS = 64
 #: A term counts as much as it has letters beyond two, within these bounds: short words are in all texts.
 LEAST_WEIGHT, MOST_WEIGHT = 1, 8
-#: Votes are added up four to a long, 16 bits each, so terms are counted in runs that cannot overflow.
+#: Votes are added up four to a long, 16 bits each, so terms are counted in runs that cannot overflow
+#: into the next lane or the sign.
 LANES = 4
 LANE_BITS = 16
-RUN = ((1 << LANE_BITS) - 1) // MOST_WEIGHT
+RUN = ((1 << (LANE_BITS - 1)) - 1) // MOST_WEIGHT
 #: Multiplying by SPREAD and masking moves bit i of a number below 16 to bit 16 * i.
 SPREAD = sum(1 << (i * (LANE_BITS - 1)) for i in range(LANES))
 LANE_MASK = sum(1 << (i * LANE_BITS) for i in range(LANES))
@@ -26,71 +28,57 @@ LANE_MASK = sum(1 << (i * LANE_BITS) for i in range(LANES))
 ID_BITS = 6
 SORTED_AT_ONCE = 16_384
 NO_ID = -(1 << 62)
+#: Rows of a range of ids that one task puts in order, and letters that order texts under one id.
+PART_ROWS = 4096
+PREFIX = 64
 #: Documents that are looked up among all others, and how many bits may differ.
 QUERY_STEP = 50
 RADIUS = 3
 
 
-def _runs(text: Column) -> Column:
-    """For each run of terms the packed votes for set bits, and the weight of all votes."""
-    words = F.filter(F.split(F.lower(text), f"{SPACE_CLASS}+"), lambda w: w != "")
-    terms = F.transform(
-        words,
-        lambda w: F.struct(
-            F.xxhash64(w).alias("hash"),
-            F.greatest(F.least(F.length(w) - 2, F.lit(MOST_WEIGHT)), F.lit(LEAST_WEIGHT)).cast("long").alias("weight"),
-        ),
-    )
-    names = [f"v{k}" for k in range(BITS // LANES)]
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in [*names, "all"]])
-
-    def vote(sums: Column, term: Column) -> Column:
-        def packed(k: int) -> Column:
-            four = F.shiftrightunsigned(term["hash"], k * LANES).bitwiseAND(F.lit(15).cast("long"))
-            return (four * F.lit(SPREAD)).bitwiseAND(F.lit(LANE_MASK)) * term["weight"]
-
-        return F.struct(
-            *[(sums[n] + packed(k)).alias(n) for k, n in enumerate(names)],
-            (sums["all"] + term["weight"]).alias("all"),
-        )
-
-    def counted(all_terms: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(all_terms), F.lit(1)), F.lit(RUN))
-        return F.transform(starts, lambda at: F.aggregate(F.slice(all_terms, at, RUN), zero, vote))
+def fingerprints(df: DataFrame, keys: list[str], text: str, out: str = "fingerprint") -> DataFrame:
+    """`keys` and the 64-bit fingerprint of column `text` as a long in `out`; `keys` tell rows apart.
 
-    # The array around the terms binds them once for all runs.
-    return F.transform(F.array(terms), counted)[0]
+    Terms are the lower-cased words of the whole text. Null, empty and blank texts have fingerprint
+    0; equal texts have equal fingerprints. Every term casts its votes into sums for its run of the
+    text, runs are added up bit by bit, and a bit is set where more than half of the weight voted
+    for it. Where `df` is dealt out by some of `keys` nothing is shuffled, else a row for each run.
+    """
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), f"{SPACE_CLASS}+")
+    terms = df.select(*keys, F.posexplode(words).alias("_place", "_word")).select(
+        *keys,
+        (F.col("_place") / RUN).cast("int").alias("_run"),
+        F.xxhash64("_word").alias("_hash"),
+        F.when(F.col("_word") == "", 0)
+        .otherwise(F.greatest(F.least(F.length("_word") - 2, F.lit(MOST_WEIGHT)), F.lit(LEAST_WEIGHT)))
+        .cast("long")
+        .alias("_weight"),
+    )
 
+    def packed(k: int) -> Column:
+        four = F.shiftrightunsigned("_hash", k * LANES).bitwiseAND(F.lit(15).cast("long"))
+        return (four * F.lit(SPREAD)).bitwiseAND(F.lit(LANE_MASK)) * F.col("_weight")
 
-def _bits(runs: Column) -> Column:
-    """The fingerprint: a bit is set where more than half of the weight voted for it."""
-    nothing = F.lit(0).cast("long")
-    total = F.aggregate(runs, nothing, lambda sums, run: sums + run["all"])
+    runs = terms.groupBy(*keys, "_run").agg(
+        *[F.sum(packed(k)).alias(f"_v{k}") for k in range(BITS // LANES)], F.sum("_weight").alias("_all")
+    )
 
-    def bit(b: int) -> Column:
-        name, shift = f"v{b // LANES}", b % LANES * LANE_BITS
-        votes = F.aggregate(
-            runs,
-            nothing,
-            lambda sums, run: sums
-            + F.shiftrightunsigned(run[name], shift).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("long")),
-        )
-        return F.when(votes * 2 > total, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(nothing)
+    def votes(b: int) -> Column:
+        lane = F.shiftrightunsigned(f"_v{b // LANES}", b % LANES * LANE_BITS)
+        return F.sum(lane.bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("long")))
 
-    out = bit(0)
-    for b in range(1, BITS):
-        out = out.bitwiseOR(bit(b))
-    return out
+    sums = runs.groupBy(*keys).agg(*[votes(b).alias(f"_b{b}") for b in range(BITS)], F.sum("_all").alias("_all"))
+    bits = F.lit(0).cast("long")
+    for b in range(BITS):
+        bit = F.shiftleft(F.lit(1).cast("long"), b)
+        bits = bits.bitwiseOR(F.when(F.col(f"_b{b}") * 2 > F.col("_all"), bit).otherwise(0))
+    return sums.select(*keys, bits.alias(out))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """`df` with the 64-bit fingerprint of column `text` as a long in `out`, replaced if there.
-
-    Terms are the lower-cased words of the whole text. Null, empty and blank texts have fingerprint
-    0; equal texts have equal fingerprints.
-    """
-    counted = df.withColumn("_runs", _runs(F.coalesce(F.col(text), F.lit(""))))
-    return counted.withColumn(out, _bits(F.col("_runs"))).drop("_runs")
+    """`df` with the fingerprint of column `text` in `out`, replaced if there; it is written once."""
+    rows = saved(df.drop(out).withColumn("_row", F.monotonically_increasing_id()), "texts")
+    return rows.join(fingerprints(rows, ["_row"], text, out), "_row").drop("_row")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -162,62 +150,98 @@ def next_keys(keys: DataFrame, at_once: int = SORTED_AT_ONCE) -> DataFrame:
     return ranged.join(after, "range").select("key", F.coalesce(inside, F.col("after")).alias("next_key"))
 
 
-def _with_next(rows: DataFrame, order: list[Column], value: str, out: str, ranges: DataFrame) -> DataFrame:
-    """`rows` with `value` of the next row in `out`: by ranges of ids, then `order` within a range."""
-    window = Window.partitionBy("_range").orderBy(*order)
+def _with_next(rows: DataFrame, order: list[str], value: str, out: str, ranges: DataFrame) -> DataFrame:
+    """`rows` with `value` of the next row in `out`: by ranges of ids and their parts, then `order`."""
+    window = Window.partitionBy("_range", "_part").orderBy(*order)
     inside = rows.withColumn(out, F.lead(value).over(window)).withColumn(
         "_last", F.lead(F.lit(1)).over(window).isNull()
     )
-    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(value).alias("v"))
-    firsts = rows.groupBy(F.col("_range").alias("next_key")).agg(F.min(key)["v"].alias("_after"))
-    after = ranges.join(firsts, "next_key").select(F.col("key").alias("_to"), "_after")
-    joined = inside.join(after, (F.col("_range") == F.col("_to")) & F.col("_last"), "left")
+    key = F.struct(*order, F.col(value).alias("v"))
+    firsts = rows.groupBy("_range", "_part").agg(F.min(key)["v"].alias("_after"))
+    # After a part comes the next one of its range, after the last the first one of the next range.
+    within = firsts.where(F.col("_part") > 0).select(
+        F.col("_range").alias("_to"), (F.col("_part") - 1).alias("_to_part"), "_after"
+    )
+    lasts = rows.groupBy(F.col("_range").alias("key")).agg(F.max("_part").alias("_to_part"))
+    begins = firsts.where(F.col("_part") == 0).select(F.col("_range").alias("next_key"), "_after")
+    across = ranges.join(lasts, "key").join(begins, "next_key").select(F.col("key").alias("_to"), "_to_part", "_after")
+    after = within.unionByName(across)
+    met = (F.col("_range") == F.col("_to")) & (F.col("_part") == F.col("_to_part")) & F.col("_last")
+    joined = inside.join(after, met, "left")
     return joined.withColumn(out, F.when(F.col("_last"), F.col("_after")).otherwise(F.col(out))).drop(
-        "_to", "_after", "_last"
+        "_to", "_to_part", "_after", "_last"
     )
 
 
+def _parted(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`rows` with `_part`: ranges that hold many rows, as of one repeated id, are cut into parts of
+    PART_ROWS rows in the order of `order`; most ranges are one part."""
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    hot = saved(sizes.where(F.col("_rows") > PART_ROWS).select("_range"), "hot-ranges")
+    whole = F.lit(0).cast("long").alias("_part")
+    if hot.isEmpty():
+        return rows.select("*", whole)
+    placed = with_positions(rows.join(hot, "_range", "left_semi"), order, within=["_range"], name="_place")
+    parts = placed.select(*rows.columns, F.floor(F.col("_place") / PART_ROWS).alias("_part"))
+    return rows.join(hot, "_range", "left_anti").select("*", whole).unionByName(parts)
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, with their likeness.
 
     The edited text has the first half of a document, and for the rest the first letters of the
-    next document. Documents follow one another by doc_id, then text, null ids first; the first
-    follows the last. Null texts count as empty. Texts are shuffled once, by ranges of ids, and
-    only the first text of a range once more.
+    next document. Documents follow one another by doc_id, null ids first; those that share an id by
+    the first PREFIX letters of their texts, then by a hash of the text. The first follows the last.
+    Null texts count as empty. Texts are shuffled once, by ranges of ids, and only the first text of
+    a range once more; a range that holds many rows is cut into parts, so neither a repeated id nor
+    missing ids bring many texts together in one task.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hexadecimal),
     near_edited, near_next, n_near: for documents whose doc_id is divisible by QUERY_STEP the number
     of different fingerprints of all documents within RADIUS bits of theirs, else null.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn(
-        "_range", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), ID_BITS), F.lit(NO_ID))
+    by_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).select(
+        "doc_id",
+        "text",
+        F.coalesce(F.shiftright(F.col("doc_id").cast("long"), ID_BITS), F.lit(NO_ID)).alias("_range"),
+        by_id.alias("_id"),
+        F.substring("text", 1, PREFIX).alias("_prefix"),
+        F.xxhash64("text").alias("_text_hash"),
     )
     ranges = saved(next_keys(rows.select(F.col("_range").alias("key")).distinct()), "ranges")
-    by_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    order = [by_id, F.col("text")]
-    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    paired = _with_next(numbered, order, "text", "_next", ranges)
-    half = F.floor(F.length("text") / 2).cast("int")
-    paired = paired.withColumn("_half", half).withColumn(
-        "_edited",
-        F.concat(
-            F.expr("substring(text, 1, length(text) - _half)"), F.expr("substring(_next, 1, _half)")
-        ),
+    order = ["_id", "_prefix", "_text_hash"]
+    parted = _parted(rows, order)
+    numbered = parted.withColumn("_at", F.row_number().over(Window.partitionBy("_range", "_part").orderBy(*order)))
+    paired = _with_next(numbered, order, "text", "_next", ranges).withColumn(
+        "_half", F.floor(F.length("text") / 2).cast("int")
     )
-    made = with_fingerprint(with_fingerprint(paired, "text", "_f"), "_edited", "_g")
-    facts = saved(
-        made.select(
-            "doc_id",
-            "_range",
-            "_at",
-            F.length("text").cast("long").alias("n_chars"),
-            F.sha2("_edited", 256).alias("edited_sha256"),
-            "_f",
-            "_g",
+    edited = F.concat(F.expr("substring(text, 1, length(text) - _half)"), F.expr("substring(_next, 1, _half)"))
+    told = paired.select(
+        "_range",
+        "_part",
+        "_at",
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        "text",
+        edited.alias("_edited"),
+    )
+    keys = ["_range", "_part", "_at", "doc_id", "n_chars", "edited_sha256", "_which"]
+    both = told.withColumn("edited_sha256", F.unhex(F.sha2("_edited", 256))).select(
+        *keys[:-1],
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("_which"), F.col("text").alias("_text")),
+                F.struct(F.lit(1).alias("_which"), F.col("_edited").alias("_text")),
+            )
         ),
-        "fingerprints",
     )
-    done = _with_next(facts, [F.col("_at")], "_f", "_n", ranges).select(
+    prints = fingerprints(both, keys, "_text", "_print")
+    made = prints.groupBy(*keys[:-1]).agg(
+        *[F.max(F.when(F.col("_which") == n, F.col("_print"))).alias(c) for n, c in enumerate(("_f", "_g"))]
+    )
+    facts = saved(made.withColumn("edited_sha256", F.lower(F.hex("edited_sha256"))), "fingerprints")
+    done = _with_next(facts, ["_at"], "_f", "_n", ranges).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
