@@ -126,15 +126,17 @@ def test_stages_take_empty_tables(spark, docs):
 
 def test_every_query_is_registered():
     names = sorted(n for n in queries() if n.startswith("op"))
-    assert names == sorted(QUERIES) and {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert names == sorted(QUERIES) and {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
     assert "pipeline" in queries()
 
 
-#: Rows that a query returns: as many as the table it reads, or fewer where it samples.
+#: Rows that a query returns: as many as the table it reads, or fewer where it samples. The searches
+#: over embeddings return rows for some of them and are held against their twins in SQL.
 TABLE_OF = {"op4_dom_trees": "pages"}
+SEARCHES = {"op12_pivot_search", "op13_secondary_sort_negatives"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SEARCHES))
 def test_queries_cover_their_tables(spark, name):
     n = spark.read.parquet(f"{SF_DIR}/{TABLE_OF.get(name, 'documents')}.parquet").count()
     got = QUERIES[name](spark, SF_DIR).count()

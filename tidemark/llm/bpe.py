@@ -18,10 +18,13 @@ from hashlib import sha256
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import give_back, in_slices
+
 MARK = "▁"
 #: Words whose ids a worker remembers, in each of two generations: when the younger is full, the
 #: older one goes and the younger takes its place. A word takes about 200 bytes.
@@ -272,12 +275,18 @@ def encode_column(
 ) -> DataFrame:
     """`docs` with the ids of column `text` in `out`, a column of this name replaced; null text has none."""
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = codec(model_file, remembered_words)
         for texts in batches:
-            # Four bytes an id; a list of numbers takes twice that before it is sent.
-            yield pd.Series([pieces.packed_ids(t or "").astype(np.int32) for t in texts], dtype="object")
+            parts = [pa.array([], pa.list_(pa.int32()))]
+            for part in in_slices(texts):
+                found = [pieces.packed_ids(t or "") for t in part]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                parts.append(pa.ListArray.from_arrays(ends, np.concatenate(found).astype(np.int32)))
+            yield pa.concat_arrays(parts)
+        pieces.forget()
+        give_back()
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -287,12 +296,15 @@ def decode_column(
 ) -> DataFrame:
     """`docs` with the text of the ids in column `ids` in `out`; null ids give empty text."""
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         # The same as in encoding, so that a worker holds one.
         pieces = codec(model_file, remembered_words)
         for rows in batches:
-            yield rows.map(lambda row: "" if row is None else pieces.decode(row.tolist()))
+            parts = [pa.array([], pa.string())]
+            for part in in_slices(rows):
+                parts.append(pa.array(["" if row is None else pieces.decode(row) for row in part], pa.string()))
+            yield pa.concat_arrays(parts)
 
     return docs.withColumn(out, text(F.col(ids)))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +89,36 @@ def text_sample(df: DataFrame, column: str, n: int, max_chars: int) -> list[str]
     return [r["text"] for r in chosen.orderBy("hash").collect()]
 
 
+def give_back() -> None:
+    """Return memory that is free to the system. Workers live on from stage to stage, and what one
+    stage has freed would otherwise stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Not the C library that has it.
+        pass
+
+
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work` on a task's batches, after which free memory is returned."""
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def in_slices(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """The values of a column, a few rows at a time, so that Python holds few texts at once."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def fit_logistic(
     x: np.ndarray, y: np.ndarray, weight_0: float = 1.0, ridge: float = 1e-3, steps: int = 50
 ) -> np.ndarray:

@@ -15,11 +15,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fit_logistic, fold, labelled_sample, logistic, positive_share
+from tidemark.llm.common import fit_logistic, fold, give_back, in_slices, labelled_sample, logistic, positive_share
 
 #: Letters of a shared subsequence; how much each letter of its span counts; sharpening power.
 ORDER = 3
@@ -191,6 +191,10 @@ class KernelMachine:
             self._older, self._clean = self._clean, set()
         self._clean |= words
 
+    def forget(self) -> None:
+        """Give the memory of words back."""
+        self._clean, self._older, self._found = set(), set(), {}
+
     def features(self, texts: Sequence[str]) -> np.ndarray:
         """For each text its largest margin, the sum of its margins, and its length."""
         found = self.look_up([plain_words(t) for t in texts])
@@ -302,10 +306,12 @@ def train(rows: Sequence[tuple[str, int]], prior: float | None = None) -> Kernel
 def scorer(machine: KernelMachine) -> Column:
     """The score of column `text`, computed over the whole text."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(machine.scores(texts.tolist()), dtype="float64")
+            yield pa.array([x for part in in_slices(texts, TEXTS_AT_ONCE) for x in machine.scores(part)], pa.float64())
+        machine.forget()
+        give_back()
 
     return score(F.col("text"))
 
