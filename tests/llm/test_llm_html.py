@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,20 @@ def test_elements_below_the_learnt_depth_are_nodes():
     said = {text: hints[node] for node, text, _ in tree.texts}
     assert said["told here"] == 1 and said["buy now"] != 1
     assert max(n.depth for n in tree.nodes) > H.DEEPEST and tree.features().shape[0] == len(tree.nodes)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 40_000 + "</i>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<b>" * 40_000 + "<li></li>" * 40_000, "<svg>" * 40_000 + "</b>" * 40_000],
+    ids=["no such element", "beyond a block", "nothing to close", "hidden"],
+)
+def test_unclosed_elements_take_linear_time(page):
+    start = time.process_time()
+    H.Tree(page + "text")
+    # Looking through what is open at each tag would take minutes.
+    assert time.process_time() - start < 20
+
+
+def test_formulas_are_shown():
+    page = "<article><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>TeX</annotation></math> holds.</p></article>"
+    assert "".join(t for _, t, _ in H.Tree(page).texts) == "Sum x+1 holds."

@@ -21,8 +21,8 @@ from tidemark.llm.common import text_sample
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER_SHOWN = frozenset(
-    "head title script style noscript template svg math iframe object canvas audio video map select option "
-    "textarea button datalist".split()
+    "head title script style noscript template svg annotation annotation-xml iframe object canvas audio video map "
+    "select option textarea button datalist".split()
 )
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -83,7 +83,8 @@ class Tree(HTMLParser):
     """The block elements of a page, inline elements folded into them, and its texts in order.
 
     Markup may be broken: end tags that are missing are put in, those without a start tag are left
-    out, and an end of the page ends all that is open. Character references are decoded.
+    out, and an end of the page ends all that is open. Character references are decoded. Each tag takes
+    constant time besides the elements that it closes, however many are open.
     """
 
     def __init__(self, html: str):
@@ -92,6 +93,10 @@ class Tree(HTMLParser):
         #: Runs of text: the node they stand in, and whether a block begins before them.
         self.texts: list[tuple[int, str, bool]] = []
         self._open = [("html", 0)]
+        # Where in that list the elements of a name are, and the blocks.
+        self._places: dict[str, list[int]] = {}
+        self._blocks = [0]
+        # The element that hides what is in it, once for each time that it is nested in itself.
         self._hidden: list[str] = []
         self._links = 0
         self._fresh = True
@@ -111,7 +116,7 @@ class Tree(HTMLParser):
         if self._hidden:
             if tag == self._hidden[-1] and tag not in VOID:
                 self._hidden.append(tag)
-            elif tag in ("body", "article", "main") and "head" in self._hidden:
+            elif tag in ("body", "article", "main") and self._hidden[-1] == "head":
                 self._hidden.clear()
             else:
                 return
@@ -129,7 +134,7 @@ class Tree(HTMLParser):
             if tag == "br" and self.texts:
                 self.texts.append((self._open[-1][1], " ", False))
             return
-        if tag == "html" or tag == "body" and any(t == "body" for t, _ in self._open):
+        if tag == "html" or tag == "body" and self._places.get("body"):
             return
         if tag in BLOCKS:
             above = self._open[-1][1]
@@ -138,10 +143,10 @@ class Tree(HTMLParser):
             node = len(self.nodes)
             self.nodes.append(Node(tag, above, self.nodes[above].depth + 1, tokens, len(self.nodes[above].children)))
             self.nodes[above].children.append(node)
-            self._open.append((tag, node))
+            self._push(tag, node)
             self._fresh = True
         else:
-            self._open.append((tag, self._open[-1][1]))
+            self._push(tag, self._open[-1][1])
             if tag == "a":
                 self._links += 1
                 self.nodes[self._open[-1][1]].links += 1
@@ -153,23 +158,16 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self._hidden:
-            if tag in self._hidden:
-                while self._hidden.pop() != tag:
-                    pass
+            if tag == self._hidden[-1]:
+                self._hidden.pop()
             return
-        if tag == "p" and not any(t == "p" for t, _ in self._open):
+        at = self._nearest((tag,))
+        if tag == "p" and not at:
             self._fresh = True
             return
-        if tag in ("html", "body"):
-            return
-        for at in range(len(self._open) - 1, 0, -1):
-            name = self._open[at][0]
-            if name == tag:
-                self._pop_to(at)
-                return
-            # The end of an inline element does not close a block.
-            if tag not in BLOCKS and name in BLOCKS:
-                return
+        # The end of an inline element does not close a block.
+        if at and tag not in ("html", "body") and (tag in BLOCKS or self._blocks[-1] < at):
+            self._pop_to(at)
 
     def handle_data(self, data):
         if self._hidden or not data:
@@ -184,27 +182,34 @@ class Tree(HTMLParser):
             if self._links:
                 self.nodes[node].link_chars += n
 
+    def _push(self, tag: str, node: int) -> None:
+        self._places.setdefault(tag, []).append(len(self._open))
+        if tag in BLOCKS:
+            self._blocks.append(len(self._open))
+        self._open.append((tag, node))
+
     def _pop_to(self, at: int) -> None:
-        if any(t in BLOCKS for t, _ in self._open[at:]):
-            self._fresh = True
-        self._links -= sum(t == "a" for t, _ in self._open[at:])
-        del self._open[at:]
+        while len(self._open) > at:
+            tag, _ = self._open.pop()
+            self._places[tag].pop()
+            if tag in BLOCKS:
+                self._blocks.pop()
+                self._fresh = True
+            self._links -= tag == "a"
+
+    def _nearest(self, names) -> int:
+        """Where the innermost open element of one of the names is; 0 if there is none."""
+        return max((self._places[n][-1] for n in names if self._places.get(n)), default=0)
 
     def _close_paragraph(self) -> None:
-        for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at][0] == "p":
-                self._pop_to(at)
-                return
-            if self._open[at][0] in BLOCKS:
-                return
+        innermost = self._blocks[-1]
+        if innermost and self._open[innermost][0] == "p":
+            self._pop_to(innermost)
 
     def _close_until(self, names: frozenset, stop: frozenset) -> None:
-        for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at][0] in stop:
-                return
-            if self._open[at][0] in names:
-                self._pop_to(at)
-                return
+        at = self._nearest(names)
+        if at > self._nearest(stop):
+            self._pop_to(at)
 
     def features(self) -> np.ndarray:
         """A row for every node: its tag, attribute words, depth, density, siblings, and its ancestors' words."""
