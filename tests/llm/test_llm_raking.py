@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import raking as K
+from tidemark.llm.queries import ORACLE, QUERIES
 
 DOCS = "doc_id long, text string, source string, lang string, topic string, weight string"
 
@@ -127,3 +129,25 @@ def test_values_of_share_0_are_left_out(spark):
     df = spark.createDataFrame([("p", "x", 10), ("q", "y", 10), ("q", "x", 5)], "a string, b string, tokens long")
     got = K.keep_probabilities(K.rake(df, {"a": {"p": 1.0, "q": 0.0}, "b": 1.0}, rounds=5)).collect()
     assert {(r["a"], r["b"]): r["probability"] for r in got} == {("p", "x"): 1, ("q", "y"): 0, ("q", "x"): 0}
+
+
+def test_twin_in_sql_on_other_languages(spark, tmp_path):
+    """The rows of the query and of its SQL on a table with languages that have no named share."""
+    rng = random.Random(12)
+    langs = ["en"] * 5 + ["de", "fr", "es", "it", None]
+    rows = [
+        (i, " ".join(["word"] * rng.randint(0, 60)), rng.choice(langs), rng.choice(["a", "b", None]), 0) for i in range(600)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["op6_raked_mixture"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got and got == sorted(con.execute(ORACLE["op6_raked_mixture"]).fetchall())
+    assert {r[2] for r in got} == {"en", "de", "fr", "es", "it", "none"}
+
+
+def test_cells_wanted_next_to_nothing_keep_a_chance(spark):
+    raked = spark.createDataFrame([("a", 1.0, 1 - 1e-13), ("b", 1e9, 1e-13), ("c", 5.0, 0.0)], "source string, tokens double, weight double")
+    got = {r["source"]: r["probability"] for r in K.keep_probabilities(raked).collect()}
+    assert got == {"a": 1.0, "b": 2.0**-32, "c": 0.0}

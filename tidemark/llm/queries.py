@@ -120,11 +120,13 @@ ORACLE: dict[str, str] = {
         ), sources AS (
             SELECT source, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) OVER () AS share FROM cells GROUP BY source
         ), langs AS (
+            -- Languages without a named share keep their own share of tokens, the named ones share out the rest.
             SELECT lang, want / sum(want) OVER () AS share FROM (
-                SELECT lang, sum(tokens) AS tokens,
-                    CASE lang WHEN 'en' THEN 0.6 WHEN 'de' THEN 0.15 WHEN 'fr' THEN 0.15 WHEN 'es' THEN 0.1
-                        ELSE 0 END::DOUBLE AS want
-                FROM cells GROUP BY lang)
+                SELECT lang, CASE WHEN named IS NULL THEN own ELSE named / sum(named) OVER ()
+                    * (1 - coalesce(sum(CASE WHEN named IS NULL THEN own END) OVER (), 0)) END AS want
+                FROM (SELECT lang, sum(tokens) / sum(sum(tokens)) OVER () AS own,
+                        CASE lang WHEN 'en' THEN 0.6 WHEN 'de' THEN 0.15 WHEN 'fr' THEN 0.15 WHEN 'es' THEN 0.1 END::DOUBLE AS named
+                    FROM cells GROUP BY lang))
         ), topics AS (
             SELECT topic, pow(sum(tokens), 0.95) / sum(pow(sum(tokens), 0.95)) OVER () AS share FROM cells GROUP BY topic
         ), raked AS (
@@ -138,7 +140,7 @@ ORACLE: dict[str, str] = {
                     ELSE weight * t / sum(weight) OVER (PARTITION BY topic) END
             FROM raked WHERE step < 90
         ), chances AS (
-            SELECT source, lang, topic, tokens, round((weight / tokens) / max(weight / tokens) OVER (), 9) AS p
+            SELECT source, lang, topic, tokens, greatest(round((weight / tokens) / max(weight / tokens) OVER (), 9), 1 / 4294967296.0::DOUBLE) AS p
             FROM raked WHERE step = 90
         ), judged AS (
             SELECT words.*, CASE WHEN n_tokens > 0 THEN p

@@ -135,9 +135,11 @@ def keep_probabilities(raked: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     need = F.col("weight") / (F.col("tokens") / F.sum("tokens").over(everything))
     needed = raked.withColumn("_need", need)
-    # Digits beyond these depend on the order of summation.
+    # Digits beyond these depend on the order of summation. What is wanted at all keeps a chance, the
+    # smallest that a draw can tell from none.
     most = F.max("_need").over(everything)
-    chance = F.when(most > 0, F.round(F.col("_need") / most, 9)).otherwise(0.0)
+    least = F.when(F.col("_need") > 0, F.lit(1 / (1 << 32))).otherwise(0.0)
+    chance = F.when(most > 0, F.greatest(F.round(F.col("_need") / most, 9), least)).otherwise(0.0)
     return needed.withColumn("probability", chance).drop("_need")
 
 
