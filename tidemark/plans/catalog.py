@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.codecs import decode_untyped, decode_value, encode_value
@@ -41,7 +41,14 @@ from tidemark.plans.views import (
 )
 from tidemark.session import pinned, scratch_path
 from tidemark.sources.feature_log import FeatureLog
-from tidemark.sources.messages import change_messages, keyed, read_feature_rows, spine_from_arrays, update_messages
+from tidemark.sources.messages import (
+    change_messages,
+    keyed,
+    read_feature_rows,
+    read_spine,
+    spine_from_arrays,
+    update_messages,
+)
 from tidemark.streaming.propagate import apply_batch, propagate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,6 +479,31 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as one spine file `[[id, time], …]` for each type, and read back with positions.
+
+    The ids hold quotes, backslashes and brackets.
+    """
+    path = scratch_path(spark, "array-file")
+    of_file = Window.partitionBy("event_type").orderBy("event_id")
+    pair = F.to_json(
+        F.array(
+            F.concat(F.lit('"}],[{\\'), F.col("event_id").cast("string")),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        )
+    )
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isNotNull())
+    head = F.when(F.row_number().over(of_file) == 1, "[").otherwise("")
+    tail = F.when(F.lead("event_id").over(of_file).isNull(), "]").otherwise(",")
+    lines = events.select("event_type", F.concat(head, pair, tail).alias("value"))
+    lines.write.partitionBy("event_type").text(path)
+    return read_spine(spark, path).select(
+        F.col("spine_id").alias("position"),
+        F.substring_index("entity_id", "\\", -1).cast("long").alias("event_id"),
+        F.col("label_timestamp").cast("timestamp_ntz").alias("ts"),
+    )
+
+
 def typed_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates some of which carry values that do not fit their types."""
     activity = user_activity(spark, sf_dir)
@@ -875,6 +907,7 @@ QUERIES: dict[str, Query] = {
     "stream_quarantine": stream_quarantine,
     "stream_two_batches": stream_two_batches,
     "json_rows": json_rows,
+    "array_file": array_file,
     "typed_refusals": typed_refusals,
     "partial_rows": partial_rows,
     "untyped_read": untyped_read,

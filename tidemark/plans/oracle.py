@@ -384,6 +384,9 @@ SELECT user_id,
        count(*) AS n_logged
 FROM applied GROUP BY user_id""",
     "json_rows": "SELECT event_id, user_id, event_type, ts FROM events",
+    "array_file": """
+SELECT row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS position, event_id, ts
+FROM events WHERE event_type IS NOT NULL""",
     "typed_refusals": f"""
 WITH {ACTIVITY}
 SELECT event_id,

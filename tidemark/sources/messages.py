@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fields import as_timestamp, message_key, parse_timestamp, payload_json
 from tidemark.model import FEATURE_ROWS, MODES, SPEC_TYPE, UPDATE_MESSAGE, FeatureViewSpec
+from tidemark.sources.arrays import array_elements
 
 # Delivery settings of the update producer.
 KAFKA_PRODUCER = {
@@ -25,13 +26,35 @@ CHANGES_TOPIC = "schema-changes"
 KAFKA_CONSUMER = {"startingOffsets": "earliest"}
 
 
-def read_feature_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Feature rows from files that each hold a JSON array or one object per line.
+def read_feature_rows(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Feature rows from files that each hold a JSON array of objects or one object per line.
 
-    A file is an array if its first character that is not white space is a bracket. Files of
-    lines are split over tasks; an array is parsed by one task.
+    `kind` says that all files are "lines" or "array"s. Without it all files are read once more to
+    tell: one is an array if its first character that is not white space is a bracket, and the names
+    of the files come to the driver. Files of either kind are split over tasks. Features out of arrays
+    are written anew without spaces.
     """
+    if kind not in (None, "lines", "array"):
+        raise ValueError(f"unknown kind of files {kind!r}")
     schema = "entity_id string, features string, event_timestamp string"
+    arrays, lines = ([path] if kind == "array" else []), ([path] if kind == "lines" else [])
+    if kind is None:
+        heads = _first_characters(spark, path).collect()
+        arrays = [r["file"] for r in heads if r["head"] == "["]
+        lines = [r["file"] for r in heads if r["head"] != "["]
+    parts = []
+    if arrays:
+        row = F.from_json("element", schema).alias("_row")
+        parts.append(array_elements(spark, arrays, "}").select(row).select("_row.*"))
+    if lines:
+        parts.append(spark.read.schema(schema).json(lines))
+    raw = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return raw.withColumn("event_timestamp", parse_timestamp(F.col("event_timestamp"))).select(
+        FEATURE_ROWS.fieldNames()
+    )
+
+
+def _first_characters(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -40,26 +63,18 @@ def read_feature_rows(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace("value", r"^\s+", "").alias("text"),
     )
     first = F.min_by(F.substring("text", 1, 1), F.struct("block", "at"))
-    heads = lines.where(F.col("text") != "").groupBy("file").agg(first.alias("head")).collect()
-    arrays = [r["file"] for r in heads if r["head"] == "["]
-    others = [r["file"] for r in heads if r["head"] != "["]
-    parts = []
-    if arrays:
-        parts.append(spark.read.schema(schema).option("multiLine", "true").json(arrays))
-    if others:
-        parts.append(spark.read.schema(schema).json(others))
-    raw = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-    return raw.withColumn("event_timestamp", parse_timestamp(F.col("event_timestamp"))).select(
-        FEATURE_ROWS.fieldNames()
-    )
+    return lines.where(F.col("text") != "").groupBy("file").agg(first.alias("head"))
 
 
 def read_spine(spark: SparkSession, path: str) -> DataFrame:
-    """A spine from a file `[[entity_id, iso_timestamp], …]`, numbered in file order."""
-    text = spark.read.option("wholetext", "true").text(path)
-    pairs = F.from_json("value", "array<array<string>>")
-    return text.select(F.posexplode(pairs).alias("spine_id", "_p")).select(
-        F.col("spine_id").cast("long").alias("spine_id"),
+    """A spine from files `[[entity_id, iso_timestamp], …]`, each numbered in its order from 0.
+
+    Files are split over tasks; the rows are sorted by file and number.
+    """
+    pair = F.from_json("element", "array<string>").alias("_p")
+    pairs = array_elements(spark, path, "]").orderBy("file", "position").select("position", pair)
+    return pairs.select(
+        F.col("position").cast("long").alias("spine_id"),
         F.get("_p", F.lit(0)).alias("entity_id"),
         parse_timestamp(F.get("_p", F.lit(1))).alias("label_timestamp"),
     )
