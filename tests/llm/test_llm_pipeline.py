@@ -3,6 +3,7 @@ import re
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from __spark_entry__ import queries
@@ -78,6 +79,18 @@ def test_near_duplicate_stage_keeps_unlike_texts_of_one_id(spark):
     assert sorted(got, key=repr) == sorted([rows[0], *rows[2:4], *rows[5:]], key=repr)
 
 
+def test_rows_that_share_a_hash_are_not_lost(spark, monkeypatch):
+    """With names of a row that collide all the time no text without an alike one goes."""
+    few = lambda: (F.pmod(F.xxhash64("doc_id", "text"), F.lit(7)), F.xxhash64(F.lit(1), "doc_id", "text"))
+    monkeypatch.setattr(C, "_row_hashes", few)
+    rows = [(i, f"text {i} " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)] + [(8, None), (9, "")]
+    docs = spark.createDataFrame(
+        [(k, t, "en", "s", 0) for k, t in [*rows, *rows[:20]]], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    got = [(r["doc_id"], r["text"]) for r in C.without_near_duplicates(spark, docs.repartition(3), "").collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
 def test_personal_data_stage(spark, docs):
     every = with_odd_rows(spark, docs)
     got = C.without_personal_data(spark, every, SF_DIR)
