@@ -95,3 +95,12 @@ def test_spec_diff(pairs):
         ("forward add optional", "age", "same"),
         ("forward add optional", "city", "added"),
     }
+
+
+def test_findings_are_worked_out_once_per_pair(pairs):
+    """A filter on the size of the list, pushed below it, would hold all the rules again."""
+    for df, wording in (
+        (audit(pairs, ["case"]), "BACKWARD: field '%s' removed from new schema but had no default"),
+        (spec_diff(pairs, ["case"]), "array_union"),
+    ):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(wording) == 1

@@ -109,10 +109,9 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         for n in names
     ]
     listed = F.sort_array(F.array_compact(F.array(*found)))
-    specs = reduced.select(
-        "o_orderkey", F.transform(listed, lambda f: F.struct(f["name"], f["dtype"], f["default"])).alias("features")
-    )
-    numbered = number_within(orders.join(specs, "o_orderkey"), by=["o_custkey"], ts="o_orderdate", order=["o_orderkey"])
+    features = F.transform(listed, lambda f: F.struct(f["name"], f["dtype"], f["default"]))
+    # Numbered with a few numbers for a spec, which is spelt out only afterwards.
+    numbered = number_within(orders.join(reduced, "o_orderkey"), by=["o_custkey"], ts="o_orderdate", order=["o_orderkey"])
     early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
     mode = (
         F.when(F.col("o_orderpriority").startswith("1"), "FORWARD")
@@ -128,7 +127,7 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
             view.alias("name"),
             F.when(F.col("o_orderstatus") == "P", "account_id").otherwise("entity_id").alias("entity_column"),
             F.when(early, "event_time").otherwise("event_timestamp").alias("timestamp_column"),
-            "features",
+            features.alias("features"),
         ).alias("spec"),
         mode.alias("compatibility_mode"),
         F.col("o_orderdate").alias("created_at"),
