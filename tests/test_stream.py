@@ -9,6 +9,7 @@ from tidemark.model import UPDATE_MESSAGE
 from tidemark.plans.materialize import newest_rows
 from tidemark.session import scratch_path
 from tidemark.sources.messages import read_updates
+from tidemark.streaming import propagate as propagate_module
 from tidemark.streaming.propagate import apply_batch, propagate
 
 T0 = dt.datetime(2024, 1, 1)
@@ -135,3 +136,23 @@ def test_published_writes_come_back_through_the_stream(spark):
     run(store, outbox)
     assert current(store) == {"a": (4, None)}
     assert store.log.read(SPEC).count() == 1, "one log row per message"
+
+
+def test_a_batch_is_checked_once(spark, store, monkeypatch):
+    """Log, current values and quarantine all read the checked rows; none of them checks again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(problem):
+        seen.add(1)
+        return problem
+
+    plain = propagate_module._checked
+    count = F.udf(counted, "string")
+    monkeypatch.setattr(propagate_module, "_checked", lambda *a: plain(*a).withColumn("problem", count("problem")))
+    rows = [(f"m{i}", "clicks", f"u{i % 7}", '{"n": 1}' if i % 5 else '{"x": 1}', T0, T0) for i in range(40)]
+    names = "message_id string, feature_view string, entity_id string, features string, event_timestamp timestamp, produced_at timestamp"
+    batch = spark.createDataFrame(rows, names).withColumn("logged", F.lit(False))
+    apply_batch(store, batch, "b-0", now=T0)
+    assert seen.value == 40
+    assert store.log.read(SPEC).count() == 32 and len(current(store)) == 7
+    assert spark.read.parquet(f"{store.root}/quarantine").count() == 8

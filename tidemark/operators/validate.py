@@ -30,9 +30,10 @@ def parse_rows(
     if retired is not None:
         known = F.array(*[F.lit(n) for n in spec.feature_names]).cast("array<string>")
         keys = F.array_except(keys, F.array_except(F.coalesce(retired, F.array().cast("array<string>")), known))
+    # Columns of their own, so that the text is parsed once per row rather than once per use.
     parsed = rows.select(
         *others, keys.alias("feature_keys"), parse_payload(F.col("features"), spec).alias("_p"),
-        F.col("features").alias("_raw"),
+        F.from_json("features", "map<string,string>").alias("_raw"),
     )
     unknown = unknown_features(F.col("feature_keys"), spec.feature_names)
     problem = (
@@ -41,9 +42,8 @@ def parse_rows(
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown features: "), F.array_join(F.array_sort(unknown), ", ")))
     )
     if check_types:
-        raw = F.from_json(F.col("_raw"), "map<string,string>")
         for name in spec.feature_names:
-            misfit = F.col("_p")[name].isNull() & raw[name].isNotNull()
+            misfit = F.col("_p")[name].isNull() & F.col("_raw")[name].isNotNull()
             problem = problem.when(misfit, f"wrong type: {name}")
     typed = [F.col("_p")[n].alias(n) for n in spec.feature_names]
     return parsed.select(*others, "feature_keys", *typed, problem.alias("problem"))

@@ -39,7 +39,7 @@ from tidemark.plans.views import (
     user_activity,
     view_events,
 )
-from tidemark.session import pinned, scratch_path
+from tidemark.session import pinned, scratch_path, stored
 from tidemark.sources.feature_log import FeatureLog
 from tidemark.sources.messages import (
     change_messages,
@@ -664,7 +664,8 @@ def stream_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     each had come once."""
     store = FeatureTables(spark, scratch_path(spark, "batches"))
     store.register_schema(USER_ACTIVITY, now=NOW)
-    updates = event_updates(table(spark, sf_dir, "events"))
+    # Read by every batch and for the middle, so built once.
+    updates = stored(event_updates(table(spark, sf_dir, "events")), "updates")
     early = F.col("ingest_seq") < updates.agg((F.min("ingest_seq") + F.max("ingest_seq")) / 2).scalar()
     for name, batch in (("b-0", updates.where(early)), ("b-1", updates.where(~early)), ("b-1", updates.where(~early))):
         apply_batch(store, batch, name, now=NOW)
@@ -681,9 +682,10 @@ def stream_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = FeatureTables(spark, scratch_path(spark, "ties"))
     store.register_schema(USER_ACTIVITY, now=NOW)
     number = F.col("message_id").cast("long")
-    updates = event_updates(table(spark, sf_dir, "events")).withColumns(
+    days = event_updates(table(spark, sf_dir, "events")).withColumns(
         {"event_timestamp": F.date_trunc("day", "event_timestamp"), "ingest_seq": -number}
     )
+    updates = stored(days, "updates")
     for n in (0, 1, 2, 0):
         apply_batch(store, updates.where(number * 7 % 3 == n), f"b-{n}", now=NOW)
     newest = store.latest(USER_ACTIVITY.name).select(

@@ -83,13 +83,17 @@ def apply_batch(
         if name_ not in batch.columns:
             batch = batch.withColumn(name_, F.lit(None).cast(kind))
     batch = batch.select(*COLUMNS).persist()
+    kept = [batch]
     try:
         specs, older = _specs_of(store, batch)
         known = F.coalesce(F.col("feature_view").isin(list(specs)), F.lit(False))
         refused = batch.where(~known).select(*COLUMNS, F.lit("no such view").alias("problem"))
 
         def one(view: str) -> DataFrame:
-            checked = _checked(batch.where(F.col("feature_view") == view), specs[view], older.get(view, {}))
+            # Log, current values and quarantine each read the checked rows; unkept, each would parse all
+            # payloads again, and a filter on `problem` several times for each row.
+            checked = _checked(batch.where(F.col("feature_view") == view), specs[view], older.get(view, {})).persist()
+            kept.append(checked)
             _write(store, specs[view], checked.where("problem IS NULL"), name, now, ttl)
             return checked.where("problem IS NOT NULL").withColumn("features", F.col("payload")).select(*COLUMNS, "problem")
 
@@ -99,7 +103,8 @@ def apply_batch(
                 refused = refused.unionByName(bad)
         refused.write.mode("overwrite").parquet(f"{store.root}/quarantine/batch={name}")
     finally:
-        batch.unpersist()
+        for rows in kept:
+            rows.unpersist()
 
 
 def _specs_of(store: FeatureTables, batch: DataFrame) -> tuple[dict[str, FeatureViewSpec], dict[str, dict[int, list[str]]]]:
