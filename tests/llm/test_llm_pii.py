@@ -162,3 +162,39 @@ def test_table(spark, model):
     assert {r["doc_id"]: r["t"] for r in replaced} == {None: "é [IP]", 900: None}
     none = df.where("false")
     assert P.find_spans(none, P.trained_model(none)).count() == 0
+
+
+def test_the_model_of_a_table_is_learned_from_all_of_every_text(spark):
+    """The only IPs stand in texts of over 20,000 characters; copies and rows without a candidate change nothing."""
+    rng = random.Random(9)
+    short = [t for t in (sentence(rng) for _ in range(260)) if not any(k == "ip" for k, _, _ in by_hand(t))]
+    long = [
+        "the river " * 2_100 + " ".join(f"host {'.'.join(str(rng.randrange(256)) for _ in range(4))} up" for _ in range(20))
+        for _ in range(8)
+    ]
+    texts = [*short, *long]
+    rows = [(k, t) for k, t in enumerate([*texts, *short[:50], *long[:2], None, "", "no number"])]
+    got = P.trained_model(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    expect = P.train(texts)
+    assert got.least["ip"] < float("inf") and got.least == expect.least
+    # Cuts that part the examples alike may differ in the last trees; what they say of a candidate does not.
+    x = P.np.array([x for t in texts for x, _, _ in P.examples(t)])
+    assert abs(got.trees.margin(x) - expect.trees.margin(x)).max() < 0.01
+    (base, spans), = got.spans(["log in at host 10 . 20 . 30 . 40 up"])
+    assert base == [] and [kind for kind, _, _ in spans] == ["ip"]
+
+
+def test_examples_of_long_texts_take_linear_time():
+    text = "write to x@y.zz or " * 8_000
+    assert sum(P.examples(text).values()) >= 8_000 * 3
+
+
+def test_spans_are_looked_up_as_one_by_one():
+    rng = random.Random(10)
+    for _ in range(200):
+        text = " ".join(sentence(rng) for _ in range(3))
+        base = by_hand(text)
+        standing = P.Standing(base, [])
+        for s in [*P.candidates(text), *((k, a, a + rng.randint(1, 9)) for k in P.KINDS for a in range(0, len(text), 7))]:
+            assert standing.touches(s) == any(a < s[2] and s[1] < b for _, a, b in base)
+            assert standing.matches(s) == P._matches(s, base)

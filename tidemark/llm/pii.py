@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
 from itertools import groupby
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -14,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.boosting import BoostedTrees, fit_boosted
-from tidemark.llm.common import give_back, in_slices, text_sample
+from tidemark.llm.boosting import BINS, BoostedTrees, bin_bytes, fit_boosted, fit_boosted_table, in_bins
+from tidemark.llm.common import give_back, giving_back, in_slices, saved
 
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone")
@@ -48,12 +51,12 @@ CUES = {
 }
 CONTEXT = 40
 
-#: Training reads at most this many documents with a trigger, of at most so many characters each.
-SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 20_000
 #: Extra spans of a kind must be right at this rate on candidates the trees were not trained on.
 PRECISION = 0.98
 LEAST_CANDIDATES = 50
+#: Thresholds are whole numbers of this fraction, and so few that the driver can choose among all.
+STEP = 1 / 256
+MOST_LOG_ODDS = 64
 
 
 def luhn(digits: str) -> bool:
@@ -145,12 +148,31 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
-def _bounds(spans: Sequence[Span]) -> np.ndarray:
-    return np.array([s[1:] for s in spans]).reshape(-1, 2)
+class Standing:
+    """Spans to look others up among, in the time of a search; those of a list do not overlap if of one kind."""
 
+    def __init__(self, *lists: Sequence[Span]) -> None:
+        self._ends: dict[tuple[int, str], list[int]] = {}
+        self._spans: dict[tuple[int, str], list[Span]] = {}
+        for k, spans in enumerate(lists):
+            for span in sorted(spans, key=lambda s: s[1]):
+                self._ends.setdefault((k, span[0]), []).append(span[2])
+                self._spans.setdefault((k, span[0]), []).append(span)
 
-def _touches(span: Span, bounds: np.ndarray) -> bool:
-    return bool(((bounds[:, 0] < span[2]) & (bounds[:, 1] > span[1])).any())
+    def touching(self, span: Span, kinds: Sequence[str] = KINDS) -> Iterator[Span]:
+        """Those of some kinds that share characters with a span."""
+        for key, ends in self._ends.items():
+            if key[1] in kinds:
+                spans, at = self._spans[key], bisect_right(ends, span[1])
+                while at < len(spans) and spans[at][1] < span[2]:
+                    yield spans[at]
+                    at += 1
+
+    def touches(self, span: Span) -> bool:
+        return any(True for _ in self.touching(span))
+
+    def matches(self, span: Span) -> bool:
+        return _matches(span, list(self.touching(span, (span[0],))))
 
 
 def _matches(span: Span, base: Sequence[Span]) -> bool:
@@ -224,9 +246,9 @@ class SpanModel:
             out.append((base, list(base)))
             if not text or not TRIGGER.search(text) or all(x == np.inf for x in self.least.values()):
                 continue
-            taken = _bounds(base)
+            taken = Standing(base)
             for span in candidates(text):
-                if self.least[span[0]] < np.inf and not _touches(span, taken):
+                if self.least[span[0]] < np.inf and not taken.touches(span):
                     owner.append(len(out) - 1)
                     rows.append(features(text, span))
                     extra.append(span)
@@ -261,51 +283,150 @@ def redacted(text: str, spans: Sequence[Span]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _least(margins: np.ndarray, right: np.ndarray) -> float:
-    """The lowest log odds, at least 0, from which candidates are right at the rate PRECISION."""
-    if len(right) < LEAST_CANDIDATES or not right.any():
+def _steps(margins: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(margins, -MOST_LOG_ODDS, MOST_LOG_ODDS) / STEP).astype(np.int64)
+
+
+def _least(steps: np.ndarray, n: np.ndarray, right: np.ndarray) -> float:
+    """The lowest log odds, at least 0, from which candidates are right at the rate PRECISION.
+
+    Given are different log odds in steps, how many candidates have them and how many of those are right.
+    """
+    if n.sum() < LEAST_CANDIDATES or not right.any():
         return np.inf
-    order = np.argsort(-margins, kind="stable")
-    margins, right = margins[order], right[order]
-    # Equal margins stand or fall together.
-    ends = np.nonzero(np.append(margins[1:] < margins[:-1], True))[0]
-    rate = right.cumsum()[ends] / (ends + 1)
-    good = np.nonzero(rate >= PRECISION)[0]
-    return float(max(margins[ends[good[-1]]], 0.0)) if len(good) else np.inf
+    order = np.argsort(-steps)
+    good = np.nonzero(right[order].cumsum() / n[order].cumsum() >= PRECISION)[0]
+    return float(max(steps[order][good[-1]] * STEP, 0.0)) if len(good) else np.inf
+
+
+def examples(text: str) -> Counter[tuple[tuple[float, ...], bool, str | None]]:
+    """The candidates of a text, as written and with its strict spans spelt out in all ways, and how often.
+
+    Each has its features, whether it is right, and its kind if the model will be asked about it:
+    a candidate is right if a strict span of its kind stands where it does, or one that was spelt
+    out; the model is asked about those that no strict span touches.
+    """
+    found: Counter[tuple[tuple[float, ...], bool, str | None]] = Counter()
+    base = base_spans(text)
+    loose = [_spelt_out(text, base, way) for way in range(WAYS)] if base else []
+    for version, known in [(text, []), *loose]:
+        strict = base if version is text else base_spans(version)
+        taken, standing = Standing(strict), Standing(strict, known)
+        for span in candidates(version):
+            found[tuple(features(version, span)), standing.matches(span), None if taken.touches(span) else span[0]] += 1
+    return found
 
 
 def train(texts: Sequence[str]) -> SpanModel:
-    """Trees from the candidates of sample texts, as written and with their strict spans spelt out in all ways.
+    """Trees from the examples of different texts in memory; half of the texts, by crc32, find the thresholds.
 
-    A candidate is right if a strict span of its kind stands where it does, or one that was spelt out.
-    For each kind the threshold is found on texts set apart, among the candidates that the model will
-    be asked about, which are those that no strict span touches. A kind with fewer than
-    LEAST_CANDIDATES of them, or with no right one, adds nothing to the strict spans.
+    For each kind the threshold is found among the candidates that the model will be asked about. A
+    kind with fewer than LEAST_CANDIDATES of them, or with no right one, adds nothing to the strict spans.
     """
-    x: tuple[list, list] = ([], [])
-    y: tuple[list, list] = ([], [])
-    asked: list[str | None] = []
-    for k, text in enumerate(dict.fromkeys(texts)):
-        base = base_spans(text)
-        loose = [_spelt_out(text, base, way) for way in range(WAYS)] if base else []
-        for version, known in [(text, []), *loose]:
-            strict = base_spans(version)
-            taken = _bounds(strict)
-            for span in candidates(version):
-                x[k % 2].append(features(version, span))
-                y[k % 2].append(_matches(span, [*strict, *known]))
-                if k % 2:
-                    asked.append(None if _touches(span, taken) else span[0])
-    if not any(y[0]) or all(y[0]) or not y[1]:
-        return SpanModel(fit_boosted(np.zeros((0, 1)), np.zeros(0)), dict.fromkeys(KINDS, np.inf))
-    trees = fit_boosted(np.array(x[0]), np.array(y[0], dtype=float))
-    margins, right, of = trees.margin(np.array(x[1])), np.array(y[1]), np.array(asked, dtype=object)
-    return SpanModel(trees, {kind: _least(margins[of == kind], right[of == kind]) for kind in KINDS})
+    folds: tuple[list, list] = ([], [])
+    for text in dict.fromkeys(texts):
+        folds[crc32(text.encode()) % 2].extend(examples(text).elements())
+    y = [right for _, right, _ in folds[0]]
+    if not any(y) or all(y) or not folds[1]:
+        return _without_model()
+    trees = fit_boosted(np.array([x for x, _, _ in folds[0]]), np.array(y, dtype=float))
+    least = {}
+    for kind in KINDS:
+        asked = [(x, right) for x, right, of in folds[1] if of == kind]
+        steps, at = np.unique(_steps(trees.margin(np.array([x for x, _ in asked]))), return_inverse=True)
+        least[kind] = _least(steps, np.bincount(at), np.bincount(at, [right for _, right in asked]))
+    return SpanModel(trees, least)
+
+
+def _without_model() -> SpanModel:
+    return SpanModel(fit_boosted(np.zeros((0, 1)), np.zeros(0)), dict.fromkeys(KINDS, np.inf))
 
 
 def trained_model(docs: DataFrame) -> SpanModel:
-    """A model from a bounded sample of documents, the same in every run: first in hash order."""
-    return train(text_sample(docs.where(F.col("text").rlike("[0-9@]")), "text", SAMPLE_DOCS, SAMPLE_CHARS))
+    """The model of `train` from all different whole texts that can hold a candidate.
+
+    Tasks make the examples; equal ones become one row with a count. Cuts are exact quantiles, trees
+    grow from sums over all rows, and thresholds from counts over all rows. The driver receives
+    those sums only.
+    """
+    rows = saved(_example_rows(docs), "pii-examples")
+    fits = F.col("fold") == 0
+    width = len(features("1", ("ip", 0, 1)))
+    quantiles = F.array(*[F.lit(q) for q in np.linspace(0, 1, BINS + 1)[1:-1].tolist()])
+    # Candidates are short, so that a feature has few different values.
+    found = rows.where(fits).agg(*[F.percentile(F.col("x")[k], quantiles, F.col("n")) for k in range(width)]).first()
+    if found[0] is None:
+        return _without_model()
+    cuts = [np.unique(column) for column in found]
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            bins = pa.array([row.tobytes() for row in in_bins(x, cuts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([bins, *[batch.column(c) for c in (*EXAMPLE, "n")]], ["bins", *EXAMPLE, "n"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*EXAMPLE, "n"))
+    in_cells = rows.mapInArrow(binned, f"bins binary, {kinds}").groupBy("bins", *EXAMPLE).agg(F.sum("n").alias("n"))
+    cells = saved(in_cells, "pii-cells")
+    trees = fit_boosted_table(cells.where(fits), cuts)
+    if not len(trees.leaf):
+        return _without_model()
+    return SpanModel(trees, _thresholds(cells.where(~fits & F.col("asked").isNotNull()), trees, cuts))
+
+
+#: What an example has beside its features.
+EXAMPLE = ("fold", "right", "asked")
+
+
+def _example_rows(docs: DataFrame) -> DataFrame:
+    """Different examples of all different texts: features x, fold, right, asked and how often, n."""
+    texts = docs.where(F.col("text").rlike(TRIGGER.pattern)).select(
+        "text", F.md5("text").alias("key"), (F.crc32("text") % 2).cast("int").alias("fold")
+    )
+
+    @giving_back
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in in_slices(batch.column("text")):
+                rows = [
+                    (x, batch.column("key")[k].as_py(), batch.column("fold")[k].as_py(), right, asked, n)
+                    for k, text in enumerate(part, at)
+                    for (x, right, asked), n in examples(text).items()
+                ]
+                at += len(part)
+                if rows:
+                    columns = list(zip(*rows))
+                    types = (pa.list_(pa.float64()), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64())
+                    arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["x", "key", *EXAMPLE, "n"])
+
+    found = texts.mapInArrow(made, "x array<double>, key string, fold int, right boolean, asked string, n long")
+    # Equal texts have equal examples, which count once.
+    once = found.groupBy("key", "x", *EXAMPLE).agg(F.max("n").alias("n"))
+    return once.groupBy("x", *EXAMPLE).agg(F.sum("n").alias("n"))
+
+
+def _thresholds(cells: DataFrame, trees: BoostedTrees, cuts: Sequence[np.ndarray]) -> dict[str, float]:
+    """For each kind the threshold from all candidates that the trees were not trained on."""
+    # The upper end of a bin stands for its values: no cut lies between them.
+    values = [np.concatenate([c, [np.inf]]) for c in cuts]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = bin_bytes(batch.column("bins"))
+            x = np.stack([v[column] for v, column in zip(values, bins.T)], axis=1)
+            steps = pa.array(_steps(trees.margin(x)))
+            yield pa.RecordBatch.from_arrays([steps, *[batch.column(c) for c in ("asked", "right", "n")]], ["step", "asked", "right", "n"])
+
+    found = cells.select("bins", "asked", "right", "n").mapInArrow(judged, "step long, asked string, right boolean, n long")
+    counts = found.groupBy("asked", "step").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("right").cast("int")).alias("right")
+    )
+    least = dict.fromkeys(KINDS, np.inf)
+    for kind, group in counts.toPandas().groupby("asked"):
+        least[kind] = _least(*[group[c].to_numpy() for c in ("step", "n", "right")])
+    return least
 
 
 def find_spans(docs: DataFrame, model: SpanModel) -> DataFrame:
